@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanlake.operators.search import SCORE_DIGITS, top_k
+from spanlake.session import cut_lineage
 
 DIM = 384
 MAX_TOKENS = 512
@@ -116,8 +117,10 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, scope: str
     Vectors are never shuffled and no query-vector pair becomes a row: each task keeps k results per query while it
     streams its vectors. Queries are sent to the tasks in blocks of bounded size, one scan per block.
     """
-    n = queries.count()
-    blocks = max(1, math.ceil(n / QUERY_BLOCK))
+    blocks = 1
+    if queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
+        queries = cut_lineage(queries)
+        blocks = math.ceil(queries.count() / QUERY_BLOCK)
     extra = [F.col(scope).alias("scope")] if scope else []
     source = vectors.where(F.col("vec").isNotNull()).select("passage_id", "vec", *extra)
     id_type = queries.schema["query_id"].dataType

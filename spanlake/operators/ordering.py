@@ -46,15 +46,23 @@ def prefix_offsets(counts: DataFrame, key: str, value: str, buckets: int = 256)
     return b.join(totals, "_b").withColumn("offset", F.col("_base") + F.coalesce(inside, F.lit(0))).drop("_b", "_base")
 
 
-def dense_index(keys: DataFrame, key: str, name: str = "idx") -> DataFrame:
-    """Numbers 0..n-1 for distinct keys in md5 order; 4096 md5 prefixes are numbered apart and stitched."""
-    h = keys.withColumn("_h", F.md5(F.col(key).cast("string"))).withColumn("_b", F.substring("_h", 1, 3))
-    totals = h.groupBy("_b").agg(F.count(F.lit(1)).alias("_t"))
-    before = F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    totals = totals.select("_b", F.coalesce(before, F.lit(0)).alias("_base"))
-    rn = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
-    return h.withColumn("_rn", rn).join(totals, "_b").withColumn(name, F.col("_base") + F.col("_rn") - 1).drop(
-        "_h", "_b", "_rn", "_base"
+def dense_index(rows: DataFrame, key: str, by: list[str] | None = None, name: str = "idx") -> DataFrame:
+    """Numbers 0..n-1 per group for distinct keys in md5 order; md5 prefixes are numbered apart and stitched.
+
+    The prefix order is the md5 order, so numbering 4096 slices and adding their few totals gives one global order
+    that any rerun of a lost task reproduces.
+    """
+    by = by or []
+    h = rows.withColumn("_h", F.md5(F.col(key).cast("string"))).withColumn("_b", F.substring("_h", 1, 3))
+    totals = h.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_t"))
+    before = F.sum("_t").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.select(*by, "_b", F.coalesce(before, F.lit(0)).alias("_base"))
+    rn = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", key))
+    return (
+        h.withColumn("_rn", rn)
+        .join(totals, [*by, "_b"])
+        .withColumn(name, F.col("_base") + F.col("_rn") - 1)
+        .drop("_h", "_b", "_rn", "_base")
     )
 
 

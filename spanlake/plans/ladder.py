@@ -11,6 +11,7 @@ from spanlake.operators.dense import dense_top_k, hashed_embedder
 from spanlake.operators.fusion import reciprocal_rank_fusion, rerank_head, score_pairs, shared_words
 from spanlake.operators.scope import rewrite, scope_questions
 from spanlake.operators.search import bm25
+from spanlake.session import cut_lineage
 
 RUNGS = ("R1", "R2", "R3", "R4", "R5", "R6", "R7", "R6n", "R7n")
 
@@ -42,7 +43,7 @@ class Index:
 def _dense(index: Index, queries: DataFrame, k: int, scope: str | None) -> DataFrame:
     asked = queries.where(F.col("text").rlike("[A-Za-z0-9]"))
     scoped = [scope] if scope else []
-    vectors = asked.select("query_id", *scoped, index.embedder(F.col("text")).alias("vec"))
+    vectors = cut_lineage(asked.select("query_id", *scoped, index.embedder(F.col("text")).alias("vec")))
     return dense_top_k(vectors, index.vectors, k, scope)
 
 
@@ -58,7 +59,7 @@ def run_rung(rung: str, queries: DataFrame, index: Index, k: int = 10, scope: st
     if rung in ("R7", "R7n"):
         if index.aliases is None:
             raise ValueError(f"{rung} needs an alias table")
-        placed = scope_questions(queries, index.aliases, index.common)
+        placed = cut_lineage(scope_questions(queries, index.aliases, index.common))
         inner = "R6" if rung == "R7" else "R6n"
         inside = run_rung(inner, placed.where("contract_id IS NOT NULL"), index, k, "contract_id")
         whole = run_rung(inner, placed.where("contract_id IS NULL"), index, k, None)
@@ -67,7 +68,7 @@ def run_rung(rung: str, queries: DataFrame, index: Index, k: int = 10, scope: st
     if step >= 5 and index.lexicon is None:
         raise ValueError("R5 and above need the lexicon")
     s = index.settings
-    asked = rewrite(queries, index.lexicon) if step >= 5 else queries
+    asked = cut_lineage(rewrite(queries, index.lexicon)) if step >= 5 else queries
     if step == 1:
         return bm25(asked, index.passages, k, scope)
     if step == 2:
@@ -79,7 +80,7 @@ def run_rung(rung: str, queries: DataFrame, index: Index, k: int = 10, scope: st
     }
     if step == 3 or rung == "R6n":
         return reciprocal_rank_fusion(legs, s.rrf_k0, k)
-    fused = reciprocal_rank_fusion(legs, s.rrf_k0, 2 * depth)
+    fused = cut_lineage(reciprocal_rank_fusion(legs, s.rrf_k0, 2 * depth))
     head = fused.where(F.col("rank") <= s.rerank_depth).select("query_id", "passage_id")
     pairs = head.join(queries.select("query_id", F.col("text").alias("query")), "query_id").join(
         index.passages.select("passage_id", "body"), "passage_id"

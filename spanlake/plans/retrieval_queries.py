@@ -10,6 +10,7 @@ from spanlake.operators import fusion as U
 from spanlake.operators import scope as S
 from spanlake.operators import terms as D
 from spanlake.operators.search import bm25, postings, term_statistics
+from spanlake.session import cut_lineage
 from spanlake.plans.ladder import Index, Settings, run_rung
 from spanlake.plans.registry import query
 from spanlake.plans.standins import LINES, lines
@@ -320,25 +321,29 @@ def scope_questions(t):
     return S.scope_questions(q, aliases, common)
 
 
-def ladder_index(t):
+def ladder_index(t, rung):
+    """The index tables a rung reads, materialised once each as a published index would be."""
     p = line_passages(t).withColumn("contract_id", F.col("doc_id"))
-    defs = D.passage_definitions(p, line_definitions(t))
-    vec = p.select("passage_id", "contract_id", V.hashed_embedder(F.col("body")).alias("vec"))
-    return Index(
-        passages=p.select("passage_id", "contract_id", "body"),
-        expanded=D.expand_passages(p, defs).select("passage_id", "contract_id", "body"),
-        vectors=vec,
-        lexicon=lexicon_entries(t),
-        aliases=alias_table(t),
-        common=S.common_tokens(term_statistics(postings(p, ["passage_id"]))),
-        settings=Settings(depth=20),
-    )
+    keep = ["passage_id", "contract_id", "body"]
+    passages = cut_lineage(p.select(*keep))
+    expanded = lexicon = vectors = aliases = common = None
+    if rung in ("R6", "R6n", "R7", "R7n"):
+        defs = D.passage_definitions(p, line_definitions(t))
+        expanded = cut_lineage(D.expand_passages(p, defs).select(*keep))
+    if rung != "R1":
+        vectors = cut_lineage(passages.select("passage_id", "contract_id", V.hashed_embedder(F.col("body")).alias("vec")))
+    if rung in ("R5", "R6", "R6n", "R7", "R7n"):
+        lexicon = cut_lineage(lexicon_entries(t))
+    if rung in ("R7", "R7n"):
+        aliases = cut_lineage(alias_table(t))
+        common = cut_lineage(S.common_tokens(term_statistics(postings(passages, ["passage_id"]))))
+    return Index(passages, expanded, vectors, lexicon, aliases, common, settings=Settings(depth=20))
 
 
 def rung_query(rung: str):
     def run(t):
         q = own_questions(t).select("query_id", F.col("doc_id").alias("contract_id"), "text")
-        return rounded(run_rung(rung, q, ladder_index(t)))
+        return rounded(run_rung(rung, q, ladder_index(t, rung)))
 
     run.__doc__ = f"Rung {rung}: every document's question inside that document."
     return run
@@ -347,7 +352,7 @@ def rung_query(rung: str):
 def deal_rung_query(rung: str):
     def run(t):
         q = questions(t).select("query_id", "text", F.lit(None).cast("long").alias("picked"))
-        return rounded(run_rung(rung, q, ladder_index(t)))
+        return rounded(run_rung(rung, q, ladder_index(t, rung)))
 
     run.__doc__ = f"Rung {rung}: every benchmark question, placed by the names it holds or asked of the whole corpus."
     return run
