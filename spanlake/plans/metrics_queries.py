@@ -338,9 +338,9 @@ SETTINGS = """
 """
 
 
-@query("k15_pick_within_limit", f"WITH {SETTINGS} SELECT *, true AS live_path_ok FROM st WHERE p95_ms <= 95000 ORDER BY recall_at_5 DESC, p95_ms LIMIT 1")
+@query("k15_pick_within_limit", f"WITH {SETTINGS} SELECT *, p95_ms <= 99600 AS live_path_ok FROM st ORDER BY p95_ms <= 99600 DESC, CASE WHEN p95_ms <= 99600 THEN recall_at_5 END DESC NULLS LAST, p95_ms, name LIMIT 1")
 def limit_pick(t):
-    return M.pick_within(latency_settings(t), 95000.0)
+    return M.pick_within(latency_settings(t), 99600.0)
 
 
 @query("k15_pick_fastest", f"WITH {SETTINGS} SELECT *, false AS live_path_ok FROM st ORDER BY p95_ms, name LIMIT 1")
