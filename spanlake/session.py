@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,9 +35,21 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in spark.checkpoint.dir; one of our own only where none is set."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    own = tempfile.mkdtemp(prefix="spanlake-")
+    spark.sparkContext.setCheckpointDir(own)
+    return own
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder the cluster names (iterative jobs only)."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spanlake-ckpt-"))
-    return df.checkpoint(eager=True)
+    """`df` written as a table in the shared folder and read back: computed once, and safe from lost executors.
+
+    A table, not a checkpoint, because iterative jobs otherwise drag the constraints of every earlier round along.
+    """
+    path = f"{shared_folder(df.sparkSession)}/spanlake-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
