@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanlake.session import cut_lineage
+
 SAMPLE_ROWS = 4096
+# Ranges a group's values are cut into when one rank is looked for.
+RANGES = 32
 
 
 def splitters(df: DataFrame, key: str, buckets: int) -> list:
@@ -84,10 +88,10 @@ def rank_pick(df: DataFrame, keys: list[str], value: str, targets: dict[str, Col
     counted once, a group's value range is cut at its approximate quantiles, and only the one range that holds
     a wanted rank is sorted, so a group with a third of all rows is never sorted as a whole.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    probes = F.array(*[F.lit(i / 64) for i in range(1, 64)])
+    counts = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
+    probes = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
     heads = counts.groupBy(*keys).agg(
-        F.percentile_approx(value, probes, F.lit(2000)).alias("_cuts"), F.sum("_c").alias("n")
+        F.percentile_approx(value, probes, F.lit(20 * RANGES)).alias("_cuts"), F.sum("_c").alias("n")
     )
     want = F.map_from_arrays(
         F.array(*[F.lit(k) for k in targets]), F.array(*[c.cast("long") for c in targets.values()])

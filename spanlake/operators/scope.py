@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanlake.functions.text import has_phrase, name_tokens, name_words
 from spanlake.operators.phrases import phrase_matches
+from spanlake.session import cut_lineage
 
 # Corporate suffixes that follow a name, and how often a word must occur to be ordinary.
 SUFFIXES = ("inc", "incorporated", "corp", "corporation", "co", "ltd", "limited", "llc", "plc", "s")
@@ -76,21 +77,28 @@ def _token_windows(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, joined).otherwise(F.array().cast("array<string>"))
 
 
-def alias_hits(queries: DataFrame, aliases: DataFrame, common: DataFrame | None) -> DataFrame:
-    """(query_id, kind, words, alias, contract_id) for every alias a question names, by token-window equality."""
+def alias_names(aliases: DataFrame) -> DataFrame:
+    """(alias, kind, words, contract_id) with aliases as token strings, each row once."""
     tok = name_tokens(F.col("alias"))
-    a = aliases.select("contract_id", "kind", F.array_join(tok, " ").alias("alias"), F.size(tok).alias("words"))
-    a = a.where("words > 0").distinct()
-    sizes = sorted(r[0] for r in a.select("words").distinct().collect())
+    a = aliases.select(F.array_join(tok, " ").alias("alias"), "kind", F.size(tok).alias("words"), "contract_id")
+    return a.where("words > 0").distinct()
+
+
+def alias_hits(queries: DataFrame, names: DataFrame, common: DataFrame | None) -> DataFrame:
+    """(query_id, kind, words, alias) for every alias a question names, by token-window equality.
+
+    `names` has one row per (alias, kind), so a name that a third of all deals share is still one row here.
+    """
+    sizes = sorted(r[0] for r in names.select("words").distinct().collect())
+    cols = ["query_id", "kind", "words", "alias"]
     if not sizes:
-        return a.select(F.lit(None).alias("query_id"), "kind", "words", "alias", "contract_id").where(F.lit(False))
+        return names.withColumn("query_id", F.lit(None)).select(cols).where(F.lit(False))
     q = queries.select("query_id", name_tokens(F.col("text")).alias("_q"))
     windows = F.concat(*[_token_windows(F.col("_q"), n) for n in sizes])
     grams = q.select("query_id", F.explode(F.array_distinct(windows)).alias("alias"))
-    long = grams.join(a.where("words > 1"), "alias")
-    names = name_positions(queries, common).withColumnRenamed("token", "alias")
-    short = names.join(a.where("words = 1"), "alias")
-    cols = ["query_id", "kind", "words", "alias", "contract_id"]
+    long = grams.join(names.where("words > 1"), "alias")
+    single = name_positions(queries, common).withColumnRenamed("token", "alias")
+    short = single.join(names.where("words = 1"), "alias")
     return long.select(cols).unionByName(short.select(cols))
 
 
@@ -99,26 +107,29 @@ def resolve(queries: DataFrame, aliases: DataFrame, common: DataFrame | None = N
 
     Targets beat parents and the longest alias wins; several deals leave the question ambiguous (null contract).
     Returns (query_id, contract_id, alias, n_candidates) for every query, and (query_id, contract_id) candidates.
+    A question with one best alias takes its count of deals from the alias; only questions with several best aliases
+    are expanded to deals to count them once each.
     """
-    hits = alias_hits(queries, aliases, common)
+    links = alias_names(aliases)
+    names = links.groupBy("alias", "kind", "words").agg(F.count(F.lit(1)).alias("n"), F.min("contract_id").alias("one"))
     rank = F.struct((F.col("kind") == "target").cast("int").alias("t"), F.col("words"))
+    hits = alias_hits(queries, names.select("alias", "kind", "words"), common)
     best = hits.groupBy("query_id").agg(F.max(rank).alias("_best"))
-    top = hits.join(best, "query_id").where(rank == F.col("_best"))
-    candidates = top.select("query_id", "contract_id").distinct()
-    found = candidates.groupBy("query_id").agg(
+    top = cut_lineage(hits.join(best, "query_id").where(rank == F.col("_best")).select("query_id", "alias", "kind"))
+    per = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("_k"), F.min("alias").alias("alias"), F.min("kind").alias("kind"))
+    single = per.where("_k = 1").join(names, ["alias", "kind"]).select("query_id", "alias", F.col("n").alias("n_candidates"), F.col("one").alias("_one"))
+    several = per.where("_k > 1")
+    expanded = top.join(several.select("query_id"), "query_id", "left_semi").join(links, ["alias", "kind"])
+    expanded = expanded.select("query_id", "contract_id").distinct().groupBy("query_id").agg(
         F.count(F.lit(1)).alias("n_candidates"), F.min("contract_id").alias("_one")
     )
-    named = top.groupBy("query_id").agg(F.min("alias").alias("alias"))
-    out = queries.select("query_id").join(found, "query_id", "left").join(named, "query_id", "left")
-    return (
-        out.select(
-            "query_id",
-            F.when(F.col("n_candidates") == 1, F.col("_one")).alias("contract_id"),
-            "alias",
-            F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"),
-        ),
-        candidates,
+    many = several.select("query_id", "alias").join(expanded, "query_id")
+    found = single.unionByName(many)
+    out = queries.select("query_id").join(found, "query_id", "left").select(
+        "query_id", F.when(F.col("n_candidates") == 1, F.col("_one")).alias("contract_id"), "alias",
+        F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"),
     )
+    return out, top.join(links, ["alias", "kind"]).select("query_id", "contract_id").distinct()
 
 
 _WORD = re.compile("[A-Za-z0-9]+|&")

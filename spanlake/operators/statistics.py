@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.operators.ordering import dense_index
+from spanlake.session import cut_lineage
 
 # The interval's ends and the baseline that leaves no room.
 CI_LOW, CI_HIGH = 0.025, 0.975
@@ -30,8 +31,13 @@ def draws(groups: DataFrame, keys: list[str], n_boot: int, seed: int) -> DataFra
 
 
 def replicates(per: DataFrame, keys: list[str], sums: list[str], n_boot: int, seed: int) -> DataFrame:
-    """(keys, b, sums..., n): totals of every bootstrap replicate. `per`: keys, cluster, sums..., n."""
-    idx = dense_index(per, "cluster", keys, "pick")
+    """(keys, b, sums..., n): totals of every bootstrap replicate. `per`: keys, cluster, sums..., n.
+
+    The numbered clusters are written first, so Spark knows their size: it broadcasts them only if they are small
+    enough and shuffles the draws otherwise.
+    """
+    per = cut_lineage(per)
+    idx = cut_lineage(dense_index(per, "cluster", keys, "pick"))
     sizes = per.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
     drawn = draws(sizes, keys, n_boot, seed).join(idx, [*keys, "pick"])
     return drawn.groupBy(*keys, "b").agg(*[F.sum(s).alias(s) for s in sums], F.sum("n").alias("n"))

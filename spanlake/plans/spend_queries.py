@@ -142,7 +142,7 @@ def calls(t):
 )
 def limit(t):
     """Three calls per user in any two days."""
-    return P.rate_limit(calls(t), 3, WINDOW, key="user_id", chunk=5 * P.DAY)
+    return P.rate_limit(calls(t), 3, WINDOW, key="user_id")
 
 
 @query(
