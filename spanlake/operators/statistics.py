@@ -12,6 +12,7 @@ from spanlake.session import cut_lineage
 CI_LOW, CI_HIGH = 0.025, 0.975
 CEILING_LO = 0.95
 DRAW_CHUNK = 4096
+BROADCAST_CLUSTERS = 500_000
 DIGITS = 10
 
 
@@ -27,19 +28,20 @@ def draws(groups: DataFrame, keys: list[str], n_boot: int, seed: int) -> DataFra
     slots = chunks.select(*keys, "b", "c", F.explode(F.sequence("_lo", F.least(F.col("_lo") + DRAW_CHUNK - 1, F.col("c") - 1))).alias("i"))
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("i").cast("string")))
     pick = F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % F.col("c")
-    return slots.select(*keys, "b", pick.alias("pick"))
+    return slots.select(*keys, "b", F.coalesce(pick, F.lit(0).cast("long")).alias("pick"))
 
 
 def replicates(per: DataFrame, keys: list[str], sums: list[str], n_boot: int, seed: int) -> DataFrame:
     """(keys, b, sums..., n): totals of every bootstrap replicate. `per`: keys, cluster, sums..., n.
 
-    The numbered clusters are written first, so Spark knows their size: it broadcasts them only if they are small
-    enough and shuffles the draws otherwise.
+    The numbered clusters are written and counted first: up to `BROADCAST_CLUSTERS` narrow rows go to every task,
+    more are met by a shuffle. The draws, which no size estimate foresees, are never the side that is sent around.
     """
     per = cut_lineage(per)
     idx = cut_lineage(dense_index(per, "cluster", keys, "pick"))
     sizes = per.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
-    drawn = draws(sizes, keys, n_boot, seed).join(idx, [*keys, "pick"])
+    sent = F.broadcast(idx) if idx.count() <= BROADCAST_CLUSTERS else idx.hint("shuffle_hash")
+    drawn = draws(sizes, keys, n_boot, seed).join(sent, [*keys, "pick"])
     return drawn.groupBy(*keys, "b").agg(*[F.sum(s).alias(s) for s in sums], F.sum("n").alias("n"))
 
 
