@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -135,25 +136,33 @@ def resolve(queries: DataFrame, aliases: DataFrame, common: DataFrame | None = N
 _WORD = re.compile("[A-Za-z0-9]+|&")
 
 
+@lru_cache(maxsize=65536)
+def _name_pattern(alias: str) -> re.Pattern | None:
+    """A pattern for the alias's words in a row and the suffixes behind them; a one-word alias must be capitalised."""
+    def word(w):
+        whole = rf"(?<![a-z0-9]){w}(?![a-z0-9])"
+        return rf"(?:{whole}|&)" if w == "and" else whole
+
+    words = ["and" if w == "&" else w.lower() for w in _WORD.findall(alias)]
+    if not words:
+        return None
+    capital = r"(?=(?-i:[A-Z]|[A-Z0-9]*[A-Z][A-Z0-9]*(?![A-Za-z0-9])))" if len(words) == 1 else ""
+    gap = "[^a-z0-9&]*"
+    suffixes = rf"(?:{gap}(?<![a-z0-9])(?:{'|'.join(SUFFIXES)})(?![a-z0-9]))*"
+    return re.compile(capital + gap.join(map(word, words)) + suffixes, re.I | re.A)
+
+
 def drop_name(question: str, alias: str) -> str:
     """The question's words without each run of the alias and the corporate suffixes right after it.
 
     A one-word alias goes only where it is capitalised. The question is unchanged when the alias is absent or
     nothing else would be left.
     """
-    raw = _WORD.findall(question)
-    low = ["and" if w == "&" else w.lower() for w in raw]
-    name = ["and" if w == "&" else w.lower() for w in _WORD.findall(alias)]
-    n, kept, i = len(name), [], 0
-    while n and i < len(raw):
-        if low[i : i + n] == name and (n > 1 or raw[i][0].isupper() or raw[i].isupper()):
-            i += n
-            while i < len(raw) and low[i] in SUFFIXES:
-                i += 1
-        else:
-            kept.append(raw[i])
-            i += 1
-    return " ".join(kept) if kept and len(kept) < len(raw) else question
+    pattern = _name_pattern(alias)
+    if pattern is None:
+        return question
+    rest = _WORD.findall(pattern.sub(" ", question))
+    return " ".join(rest) if rest and len(rest) < len(_WORD.findall(question)) else question
 
 
 @F.pandas_udf(T.StringType())
