@@ -1,8 +1 @@
 """Long-document retrieval and its evaluation as Spark DataFrame jobs."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# Helpers used inside pandas UDFs travel with the task, so executors need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

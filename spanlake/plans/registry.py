@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanlake.session import table
+from spanlake.session import ship_package, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,7 +27,7 @@ class Tables:
 def query(name: str, sql: str | None = None):
     def wrap(fn):
         def run(spark: SparkSession, root: str) -> DataFrame:
-            return fn(Tables(spark, root))
+            return fn(Tables(ship_package(spark), root))
 
         run.__name__ = name
         run.__doc__ = fn.__doc__

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +15,21 @@ TABLES = (
 ).split()
 
 
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors once per application, so Arrow functions can import it there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_spanlake_shipped", False):
+        return spark
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="spanlake-code-")) / "spanlake.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(root.rglob("*.py")):
+            z.write(source, source.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    sc._spanlake_shipped = True
+    return spark
+
+
 def local_session(cpus: str | int = "*", partitions: int = 8, app: str = "spanlake") -> SparkSession:
     """A single-machine session for tests and the bench; a cluster passes its own session in."""
     spark = (
@@ -28,7 +45,7 @@ def local_session(cpus: str | int = "*", partitions: int = 8, app: str = "spanla
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return ship_package(spark)
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
