@@ -53,10 +53,12 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; one of our own only where none is set."""
+    """The shared folder the cluster names in spark.checkpoint.dir; one of our own only in a local session without any."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="spanlake-")
     spark.sparkContext.setCheckpointDir(own)
     return own
