@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm import language_id, simhash
-from spanlake.session import ship_package, table
+from spanlake.llm import language_id, packing, simhash, token_planes
+from spanlake.session import shared_folder, ship_package, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +46,19 @@ def op8(documents: DataFrame) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(documents, width=3, max_bits=2)
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@register("op5_token_planes", "documents")
+def op5(documents: DataFrame) -> DataFrame:
+    """Ids of every document, written as byte planes and digested from the files."""
+    spark = documents.sparkSession
+    path = f"{shared_folder(spark)}/token-planes-{uuid.uuid4().hex}"
+    token_planes.write(documents, path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_planes.digests(spark, path)
+
+
+@register("op7_packing", "documents")
+def op7(documents: DataFrame) -> DataFrame:
+    """Every document's ids in sequences of 1,024."""
+    packed = packing.pack(documents, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, size=1024)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
