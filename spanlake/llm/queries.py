@@ -1,36 +1,16 @@
-"""The registered queries of this subpackage, and the SQL that checks those SQL can express."""
+"""The registered queries that SQL cannot express: tests hold them against brute force, round trips and held-out rows."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.llm import language_id, packing, simhash, token_planes
-from spanlake.session import shared_folder, ship_package, table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, reads: str, sql: str | None = None):
-    """Register `fn(table) -> DataFrame` over the whole of one given table."""
-
-    def wrap(fn: Callable[[DataFrame], DataFrame]):
-        def run(spark: SparkSession, root: str) -> DataFrame:
-            return fn(table(ship_package(spark), root, reads))
-
-        run.__name__, run.__doc__ = name, fn.__doc__
-        QUERIES[name] = run
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-
-    return wrap
-
+from spanlake.llm.registry import register
+from spanlake.session import shared_folder
 
 @register("op1_language_id", "documents")
 def op1(documents: DataFrame) -> DataFrame:
