@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm import language_id, packing, simhash, token_planes
+from spanlake.llm import html_extract, language_id, packing, simhash, token_planes
 from spanlake.llm.registry import register
 from spanlake.session import shared_folder
 
@@ -42,3 +42,9 @@ def op7(documents: DataFrame) -> DataFrame:
     """Every document's ids in sequences of 1,024."""
     packed = packing.pack(documents, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, size=1024)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@register("op9_html_extract", "pages")
+def op9(pages: DataFrame) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(pages).withColumn("n_chars", F.char_length("text").cast("long"))
