@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm import html_extract, language_id, packing, simhash, token_planes
+from spanlake.llm import embedding_dedup, html_extract, language_id, packing, simhash, token_planes
 from spanlake.llm.registry import register
 from spanlake.session import shared_folder
 
@@ -48,3 +48,10 @@ def op7(documents: DataFrame) -> DataFrame:
 def op9(pages: DataFrame) -> DataFrame:
     """Main text of every page."""
     return html_extract.extract(pages).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@register("op3_embedding_dedup", "embeddings")
+def op3(embeddings: DataFrame) -> DataFrame:
+    """Near-duplicate vectors of one label."""
+    found = embedding_dedup.near_duplicates(embeddings, least=0.98)
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component_id").cast("long").alias("component_id"), F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
