@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm import embedding_dedup, html_extract, language_id, packing, simhash, token_planes
+from spanlake.llm import embedding_dedup, hash_forest, html_extract, language_id, packing, simhash, token_planes
 from spanlake.llm.registry import register
 from spanlake.session import shared_folder
 
@@ -55,3 +55,9 @@ def op3(embeddings: DataFrame) -> DataFrame:
     """Near-duplicate vectors of one label."""
     found = embedding_dedup.near_duplicates(embeddings, least=0.98)
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component_id").cast("long").alias("component_id"), F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+@register("op2_hash_forest", "embeddings")
+def op2(embeddings: DataFrame) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one, among all others."""
+    return hash_forest.search(embeddings, embeddings.where("vec_id % 20 = 0"), k=20)

@@ -136,6 +136,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 2) -> DataFrame:
     """The rows of `docs` whose id names their component; of repeated rows with that id one stays, as do null ids of unnamed groups."""
     found = near_duplicates(docs, id_col, text_col, width, max_bits)
-    kept = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_kept_id")).distinct()
-    hit = F.col(id_col).eqNullSafe(F.col("_kept_id"))
-    return docs.join(kept, hit, "left_semi").dropDuplicates([id_col])
+    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    kept = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(key("id").alias("_key"))
+    return docs.withColumn("_key", key(id_col)).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
