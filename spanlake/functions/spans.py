@@ -23,8 +23,8 @@ SPAN = T.StructType(
 )
 
 
-def span_finder(patterns: dict[str, str], flags: int = 0):
-    """A pandas UDF: every match of every pattern as (kind, start, end, first group), by start."""
+def span_finder(patterns: dict[str, str], flags: int = 0, whole: bool = False):
+    """A pandas UDF: every match of every pattern as (kind, start, end, first group or the `whole` match), by start."""
 
     @F.pandas_udf(T.ArrayType(SPAN))
     def find(text: pd.Series) -> pd.Series:
@@ -34,7 +34,7 @@ def span_finder(patterns: dict[str, str], flags: int = 0):
             if s is None:
                 return None
             found = [
-                (kind, m.start(), m.end(), m.group(1) if rx.groups else m.group())
+                (kind, m.start(), m.end(), m.group(1) if rx.groups and not whole else m.group())
                 for kind, rx in compiled
                 for m in rx.finditer(s)
             ]

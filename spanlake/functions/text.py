@@ -28,7 +28,7 @@ SPLIT_HEADING = r"(?dm)^([ \t]*(?:(?:Section|SECTION)[ \t]+)?\d{1,2}\.\d{1,2}\.?
 
 # Running lines are stripped lines of this length, repeated this often, not headings.
 RUNNING_MIN_CHARS, RUNNING_MAX_CHARS, RUNNING_MIN_COUNT = 4, 79, 8
-HEADING_LINE = r"(?i)^(?:(?:section|article)\b|\(?[a-z0-9]{1,4}\))"
+HEADING_LINE = r"(?i)^(?:section|article)\b|^\(?[a-z0-9]{1,4}\)"
 
 # What an agreement calls itself, and how side documents start.
 MERGER_TITLES = (

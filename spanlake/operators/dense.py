@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanlake.operators.search import SCORE_DIGITS, top_k
-from spanlake.session import cut_lineage
 
 DIM = 384
 MAX_TOKENS = 512
-# Queries scored per pass: a block of this many vectors is all that is ever sent to every task.
-QUERY_BLOCK = 2048
+# Rows of a block of queries and of a block of vectors, and how many queries a task scores at once.
+QUERY_BLOCK = 4096
+VECTOR_BLOCK = 16_384
+SCORED_AT_ONCE = 256
 
 
 @lru_cache(maxsize=200_000)
@@ -76,81 +77,64 @@ def vector_report(vectors: DataFrame) -> DataFrame:
     )
 
 
-def _best_of(batches, ids, matrix, groups, k):
-    """Running top-k per query over Arrow batches of (passage_id, vec[, scope])."""
-    norms = np.linalg.norm(matrix, axis=1)
-    unit = matrix / np.where(norms == 0, 1.0, norms)[:, None]
-    members: dict = {}
-    for q, g in enumerate(groups if groups is not None else [None] * len(ids)):
-        members.setdefault(g, []).append(q)
-    best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def merge(rows, pid, vecs):
-        m = np.stack(vecs).astype(np.float64)
-        length = np.linalg.norm(m, axis=1)
-        scores = np.round(unit[rows] @ (m / np.where(length == 0, 1.0, length)[:, None]).T, SCORE_DIGITS)
-        n = scores.shape[1]
-        floor = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(rows), -np.inf)
-        for q, s, low in zip(rows, scores, floor):
-            top = np.flatnonzero(s >= low)
-            s, p = s[top], pid[top]
-            if q in best:
-                s, p = np.concatenate([best[q][0], s]), np.concatenate([best[q][1], p])
-            order = np.lexsort((p, -s))[:k]
-            best[q] = s[order], p[order]
-
-    for pdf in batches:
-        if groups is None:
-            if len(pdf):
-                merge(members[None], pdf["passage_id"].to_numpy(), pdf["vec"].to_numpy())
+def _unit(vecs: pd.Series) -> np.ndarray:
+    m = np.stack(vecs.to_numpy()).astype(np.float64)
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(length == 0, 1.0, length)
+
+
+def _best(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Every query's k best of the vectors with its scope, ties to the smaller id; a few queries are scored at a time."""
+    found = []
+    by_scope = {g: part for g, part in vectors.groupby("scope", sort=False)}
+    for g, asked in queries.groupby("scope", sort=False):
+        if g not in by_scope:
             continue
-        for g, part in pdf.groupby("scope", sort=False):
-            if g in members:
-                merge(members[g], part["passage_id"].to_numpy(), part["vec"].to_numpy())
-    for q, (s, p) in best.items():
-        yield pd.DataFrame({"query_id": ids[q], "passage_id": p, "score": s})
+        own = by_scope[g].sort_values("passage_id", kind="stable")
+        ids, pool = own["passage_id"].to_numpy(), _unit(own["vec"])
+        for at in range(0, len(asked), SCORED_AT_ONCE):
+            part = asked.iloc[at : at + SCORED_AT_ONCE]
+            scores = np.round(_unit(part["vec"]) @ pool.T, SCORE_DIGITS)
+            order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            found.append(
+                pd.DataFrame({
+                    "query_id": np.repeat(part["query_id"].to_numpy(), order.shape[1]), "passage_id": ids[order].ravel(),
+                    "score": np.take_along_axis(scores, order, axis=1).ravel(),
+                })
+            )
+    return pd.concat(found) if found else pd.DataFrame({"query_id": [], "passage_id": [], "score": []})
 
 
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, scope: str | None = None) -> DataFrame:
     """Exact cosine top-k for every (query_id, vec) over (passage_id, vec), optionally inside a shared `scope` value.
 
-    Vectors are never shuffled and no query-vector pair becomes a row: each task keeps k results per query while it
-    streams its vectors. Queries are sent to the tasks in blocks of bounded size, one scan per block.
+    A block join: queries and vectors of a scope are dealt by hash into blocks of bounded size, each block of queries
+    meets each block of vectors of its scope in one task, and what leaves a task is k rows a query. Small scopes share a
+    task, a scope with any number of rows is many. Nothing passes through the driver and nothing is broadcast.
     """
-    blocks = 1
-    if queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
-        queries = cut_lineage(queries)
-        blocks = math.ceil(queries.count() / QUERY_BLOCK)
-    extra = [F.col(scope).alias("scope")] if scope else []
-    source = vectors.where(F.col("vec").isNotNull()).select("passage_id", "vec", *extra)
-    id_type = queries.schema["query_id"].dataType
-    schema = T.StructType(
-        [
-            T.StructField("query_id", id_type),
-            T.StructField("passage_id", T.LongType()),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
-    parts = None
-    for b in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "vec", *extra)
-        rows = block.orderBy("query_id").collect()
-        if not rows:
-            continue
-        sent = queries.sparkSession.sparkContext.broadcast(
-            (
-                [r["query_id"] for r in rows],
-                np.array([r["vec"] for r in rows], dtype=np.float64),
-                [r["scope"] for r in rows] if scope else None,
-            )
-        )
+    key = F.col(scope) if scope else F.lit(0)
+    q = queries.select("query_id", "vec", key.alias("scope"))
+    v = vectors.where(F.col("vec").isNotNull()).select("passage_id", "vec", key.alias("scope"))
+
+    def blocks(df, rows, name):
+        return df.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name), F.count(F.lit(1)).alias(name + "_rows"))
+
+    dealt = blocks(q, QUERY_BLOCK, "q_blocks").join(blocks(v, VECTOR_BLOCK, "v_blocks"), "scope")
+    bins = dealt.agg(F.ceil(F.sum(F.col("q_blocks_rows") + F.col("v_blocks_rows")) / VECTOR_BLOCK)).first()[0] or 1
+    dealt = dealt.select("scope", "q_blocks", "v_blocks", F.pmod(F.xxhash64("scope"), F.lit(bins)).alias("bin"))
+    zero = F.lit(0)
+
+    def sent(df, own, own_blocks, own_name, other_blocks, other_name):
+        block = F.pmod(F.xxhash64(own), F.col(own_blocks)).cast("int").alias(own_name)
+        return df.join(dealt, "scope").select(*df.columns, (F.col("bin") + 0).alias("bin"), block, F.explode(F.sequence(zero, F.col(other_blocks) - 1)).alias(other_name))
+
+    left = sent(q, "query_id", "q_blocks", "q_block", "v_blocks", "v_block")
+    right = sent(v, "passage_id", "v_blocks", "v_block", "q_blocks", "q_block")
+    keys = ["bin", "q_block", "v_block"]
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), *T.StructType.fromDDL("passage_id long, score double").fields])
 
-        def scan(batches, sent=sent):
-            ids, matrix, groups = sent.value
-            yield from _best_of(batches, ids, matrix, groups, k)
+    def score(asked, pool):
+        return _best(asked, pool, k)
 
-        part = source.mapInPandas(scan, schema)
-        parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
-        parts = queries.sparkSession.createDataFrame([], schema)
-    return top_k(parts, ["query_id"], k).select("query_id", "rank", "passage_id", "score")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, schema)
+    return top_k(found, ["query_id"], k).select("query_id", "rank", "passage_id", "score")

@@ -34,7 +34,6 @@ INLINE = r"`[^`]*`|\]\([^)]*\)|\[\^[^\]]*\]|</?[A-Za-z][^>]*>|https?://\S+"
 ORDINAL = r"^(\s*)\d+[.)](?=\s)"
 DATE = r"(?<![A-Za-z0-9.-])\d{4}-\d{2}-\d{2}(?![A-Za-z0-9-])"
 NUMBER = r"(?<![A-Za-z0-9.-])(-?)(\$?)(\d{1,3}(?:,\d{3})+|\d+)(\.\d+)?(%?)(?![A-Za-z0-9%]|\.\d)"
-MAX_PLACES = 6
 
 # The key-shaped string no published object may hold.
 SECRET_PATTERNS = {"api key": r"sk-ant-[A-Za-z0-9_-]{20,}"}
@@ -123,7 +122,7 @@ def numbers_in(texts: DataFrame, keys: list[str], text: str = "text") -> DataFra
     groups = [F.regexp_extract_all("_p", F.lit(NUMBER), F.lit(i)).alias(f"g{i}") for i in range(0, 6)]
     z = d.select(*keys, "labelled", F.posexplode(F.arrays_zip(*groups)).alias("at", "z"))
     frac = F.coalesce(F.col("z.g4"), F.lit(""))
-    digits = F.concat(F.replace("z.g3", F.lit(","), F.lit("")), F.substring(frac, 2, 100))
+    digits = F.concat(F.replace("z.g3", F.lit(","), F.lit("")), F.regexp_replace(frac, r"^\.", ""))
     return z.select(
         *keys, "at", "labelled", F.col("z.g0").alias("raw"), F.greatest(F.lit(0), F.length(frac) - 1).alias("places"),
         (F.col("z.g5") == "%").alias("pct"), F.length(F.regexp_replace(digits, "^0+", "")).alias("significant"),
@@ -131,26 +130,52 @@ def numbers_in(texts: DataFrame, keys: list[str], text: str = "text") -> DataFra
     )
 
 
+# Two numbers are the same within this, relative or absolute.
+SAME = 1e-9
+# From this many decimals on, rounding moves a number by less than SAME, so a number there is "rounded" only if it is exact.
+FINE_PLACES = 10
+
+
+def _close(a: Column, b: Column) -> Column:
+    return F.abs(a - b) <= F.greatest(F.lit(SAME) * F.greatest(F.abs(a), F.abs(b)), F.lit(SAME))
+
+
+def _near_keys(x: Column, reach: int) -> Column:
+    """Cells of twice the tolerance that `x` lies in, and their neighbours up to `reach`: on a log scale, and near zero on a plain one.
+
+    Doubles throughout, so a number of any length has a key.
+    """
+    steps = [F.lit(float(k)) for k in range(-reach, reach + 1)]
+    log = F.when(x != 0, F.round(F.log(F.abs(x)) / (2 * SAME)))
+    plain = F.when(F.abs(x) <= 2, F.round(x / (2 * SAME)))
+    none = F.lit(None).cast("double")
+    cells = [F.struct(F.lit(kind).alias("kind"), F.lit(0).alias("places"), F.coalesce(c + k, none).alias("cell")) for kind, c in (("log", log), ("plain", plain)) for k in steps]
+    return F.filter(F.array(*cells), lambda s: s["cell"].isNotNull())
+
+
+def _rounded(x: Column) -> Column:
+    """(places, value) of `x` at every number of places where rounding can matter."""
+    return F.array(*[F.struct(F.lit(p).alias("places"), F.round(x, p).alias("r")) for p in range(FINE_PLACES)])
+
+
 def check_numbers(texts: DataFrame, facts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Each number in a text with the facts it states exactly or rounded, and whether it needs a label.
 
-    Numbers meet facts by equality of the fact rounded to the number's places, never by trying every pair; the status
-    is then decided on the few facts that met. Numbers with more than six decimals are compared at six and checked.
+    Numbers meet facts by equality of keys, never by trying every pair: the fact rounded to the number's places, or a
+    cell of the tolerance within which two numbers are the same. The status is then decided on the few facts that met. Numbers of any
+    number of digits and decimals take part.
     """
-    n = numbers_in(texts, keys, text).withColumn("_p", F.least(F.col("places"), F.lit(MAX_PLACES)))
-    n = n.withColumn("_k", F.round(F.col("value") * F.pow(F.lit(10), F.col("_p"))).cast("long"))
+    n = numbers_in(texts, keys, text)
+    own = F.when(F.col("places") < FINE_PLACES, F.array(F.struct(F.lit("round").alias("kind"), F.col("places").cast("int").alias("places"), F.col("value").alias("cell"))))
+    asked = n.withColumn("_k", F.explode(F.concat(F.coalesce(own, F.array().cast("array<struct<kind:string,places:int,cell:double>>")), _near_keys(F.col("value"), 1))))
     shown = F.when(F.col("pct") & ~F.endswith("name", F.lit("_pct")), F.col("fact") * 100).otherwise(F.col("fact"))
     f = facts.where(F.col("value").isNotNull()).select("name", F.col("value").alias("fact"), F.explode(F.array(F.lit(False), F.lit(True))).alias("pct"))
-    f = f.select("name", "pct", shown.alias("shown"), F.explode(F.sequence(F.lit(0), F.lit(MAX_PLACES))).alias("_p"))
-    rounded = F.expr("CASE " + " ".join(f"WHEN _p = {p} THEN round(shown, {p})" for p in range(MAX_PLACES + 1)) + " END")
-    f = f.withColumn("_r", rounded).withColumn("_k", F.round(F.col("_r") * F.pow(F.lit(10), F.col("_p"))).cast("long"))
-
-    def close(a, b):
-        return F.abs(a - b) <= F.greatest(F.lit(1e-9) * F.greatest(F.abs(a), F.abs(b)), F.lit(1e-9))
-
-    met = n.join(f, ["_p", "_k", "pct"]).withColumn("_exact", close(F.col("shown"), F.col("value"))).withColumn(
-        "_near", (F.col("significant") >= 2) & close(F.col("_r"), F.col("value"))
-    )
+    f = f.select("name", "pct", shown.alias("shown"))
+    by_rounding = F.transform(_rounded(F.col("shown")), lambda s: F.struct(F.lit("round").alias("kind"), s["places"].alias("places"), s["r"].alias("cell")))
+    f = f.withColumn("_k", F.explode(F.concat(by_rounding, _near_keys(F.col("shown"), 0))))
+    met = asked.join(f, ["_k", "pct"]).select(*keys, "at", "name", "shown", "value", "significant", (F.col("_k.kind") == "round").alias("_r"))
+    met = met.groupBy(*keys, "at", "name").agg(F.first("shown").alias("shown"), F.first("value").alias("value"), F.first("significant").alias("significant"), F.max("_r").alias("_r"))
+    met = met.withColumn("_exact", _close(F.col("shown"), F.col("value"))).withColumn("_near", (F.col("significant") >= 2) & (F.col("_r") | F.col("_exact")))
     met = met.where("_exact OR _near").withColumn("_m", is_machine_built(F.col("name")))
     per = met.groupBy(*keys, "at").agg(
         F.count_if("_exact").alias("_ne"), F.count(F.lit(1)).alias("_nn"),

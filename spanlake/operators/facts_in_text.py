@@ -16,7 +16,7 @@ AMENDS = (
 AMEND_SPAN_MAX = 4000
 AMENDMENT_NUMBER = r"(?i)Amendment\s+No\.?\s*(\d+)|\b(First|Second|Third|Fourth|Fifth)\s+Amendment\b"
 AMENDMENT_SCAN = 2000
-ORDINALS = ("first", "second", "third", "fourth", "fifth")
+ORDINALS = {"first": 1, "second": 2, "third": 3, "fourth": 4, "fifth": 5}
 SCHEDULE_REF = (
     r"(?i)\b(?:Company|Parent|Seller|Buyer)\s+Disclosure\s+(?:Letter|Schedule)\b|"
     r"\bset\s+forth\s+(?:in|on)\s+Schedule\s+\d"
@@ -44,15 +44,15 @@ MAX_HINT_PASSAGES = 12
 PASSAGE_SEP = "\n\n---\n\n"
 
 # A fee near its phrase, any dollar amount, unit words, the smallest fee, and when two amounts agree.
-NUMBER_AND_UNIT = r"\$\s?(\d[\d,]*(?:\.\d+)?)(?:\s*(million|billion|mm|bn|m|b)\b)?"
-FEE = r"(?is)termination\s+fee[^;]{0,300}?" + NUMBER_AND_UNIT
-DOLLARS = r"(?i)\$\s?\d[\d,]*(?:\.\d+)?(?:\s*(?:million|billion|mm|bn|m|b)\b)?"
+SCALE = r"(?:\s*(million|billion|mm|bn|m|b)\b)?"
+FEE = r"(?is)termination\s+fee[^;]{0,300}?\$\s?(\d[\d,]*(?:\.\d+)?)" + SCALE
+DOLLARS = r"(?i)\$\s?(\d[\d,]*(?:\.\d+)?)" + SCALE
 MIN_FEE = 100_000
 FEE_TOLERANCE = 0.005
 SNIPPET = 100
 
 _find_amends = span_finder({"amends": AMENDS})
-_find_dollars = span_finder({"dollars": DOLLARS})
+_find_dollars = span_finder({"dollars": DOLLARS}, whole=True)
 
 
 def amended_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -70,8 +70,8 @@ def amendment_number(text: Column, fallback: Column) -> Column:
     head = F.substring(text, 1, AMENDMENT_SCAN)
     digits = F.regexp_extract(head, AMENDMENT_NUMBER, 1)
     word = F.lower(F.regexp_extract(head, AMENDMENT_NUMBER, 2))
-    named = F.array_position(F.array(*[F.lit(o) for o in ORDINALS]), word)
-    return F.when(digits != "", digits.cast("long")).when(named > 0, named).otherwise(fallback)
+    named = F.try_element_at(F.create_map(*[F.lit(x) for pair in ORDINALS.items() for x in pair]), word).cast("long")
+    return F.when(digits != "", digits.cast("long")).when(named.isNotNull(), named).otherwise(fallback)
 
 
 def superseded(passages: DataFrame, amended: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def restated_amounts(releases: DataFrame, fees: DataFrame, key: str) -> DataFram
     """
     found = releases.select(key, "text", F.explode(_find_dollars(F.col("text"))).alias("m"))
     value = dollar_value(
-        F.regexp_extract("m.label", "(?i)" + NUMBER_AND_UNIT, 1), F.regexp_extract("m.label", "(?i)" + NUMBER_AND_UNIT, 2)
+        F.regexp_extract("m.label", DOLLARS, 1), F.regexp_extract("m.label", DOLLARS, 2)
     )
     amounts = found.select(key, "m.start", "m.end", value.alias("value")).where("value > 0")
     bucket = F.floor(F.ln("value") / F.lit(0.01)).cast("long")

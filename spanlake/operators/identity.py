@@ -27,7 +27,7 @@ PARENT_ROLES = ("Parent", "Acquiror", "Acquirer", "Buyer", "Purchaser")
 DATED_AS_OF = r"(?i)dated\s+as\s+of\s+" + MONTH + r"\s+(\d{1,2}),?\s+(\d{4})"
 DATED = r"(?i)dated\s+(?:as\s+of\s+)?" + MONTH + r"\s+(\d{1,2}),?\s+(\d{4})"
 DAY_OF = r"(?i)(\d{1,2})(?:st|nd|rd|th)?\s+day\s+of\s+" + MONTH + r",?\s+(\d{4})"
-ABBREVIATIONS = "corp inc co ltd llc l.p lp n.v b.v s.a bros no".split()
+ABBREVIATIONS = ("corp", "inc", "co", "ltd", "llc", "l.p", "lp", "n.v", "b.v", "s.a", "bros", "no")
 PROSE_LEAD = (
     r"(?is)^.*(?:(?<!(?:^|[ ,])(?:" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r"))\.\s+|[;:]\s+|"
     + MONTH + r"\s+\d{1,2},\s+\d{4},?\s+|\b(?:by\s+and\s+among|by\s+and\s+between|among|between)\s+)"
@@ -273,12 +273,14 @@ def month_windows(first_day: Column, last_day: Column) -> Column:
     )
 
 
-def split_windows(daily: DataFrame, windows: DataFrame, cap: int, rounds: int = 5) -> DataFrame:
+def split_windows(daily: DataFrame, windows: DataFrame, cap: int) -> DataFrame:
     """Windows (start, end) with their counts; a window at the cap is halved by date until it is under it or one day.
 
     `daily`: (day, n), one row per calendar day, so its running total is a small ordered table and a window's count
-    is the difference of two of its rows. A month needs at most five halvings.
+    is the difference of two of its rows. As many halvings are planned as the longest window needs to come down to a day.
     """
+    longest = windows.agg(F.max(F.datediff("end", "start"))).first()[0] or 0
+    rounds = longest.bit_length()
     upto = daily.select("day", F.sum("n").over(Window.orderBy("day")).alias("upto"))
 
     def counted(w):

@@ -95,8 +95,11 @@ def alignment_report(rows: DataFrame, docs: DataFrame, toc: DataFrame | None = N
     groups = rows.select("contract_id", "text_type").distinct()
     known = docs.select("contract_id", F.lit(True).alias("_known"))
     r = rows.agg(F.count(F.lit(1)).alias("rows"))
-    g = groups.join(known, "contract_id", "left").agg(
-        F.count(F.lit(1)).alias("items"), F.count_if(F.col("_known").isNull()).alias("items_missing_contract")
+    scored = placed.where(found).select("contract_id", "text_type", F.lit(True).alias("_scored")).distinct()
+    g = groups.join(known, "contract_id", "left").join(scored, ["contract_id", "text_type"], "left").agg(
+        F.count(F.lit(1)).alias("items"),
+        F.count_if(F.col("_known").isNull()).alias("items_missing_contract"),
+        F.count_if(F.col("_known") & F.col("_scored").isNull()).alias("items_no_gold"),
     )
     parts = [x.unpivot([], x.columns, "counter", "value") for x in (p, s, r, g)]
     return reduce(DataFrame.unionByName, parts)

@@ -119,6 +119,7 @@ def slices(scored: DataFrame) -> DataFrame:
 
 
 MISS_CLASSES = ("definition_missing", "right_section_wrong_passage", "unsectioned_gold", "wrong_section")
+NO_PASSAGE = "no_passage"
 
 
 def classify_misses(
@@ -127,7 +128,8 @@ def classify_misses(
     """Every gold span the first k hits miss, with why.
 
     `passages`: contract_id, passage_id, start, end, section_id; `defs`: passage_id, def_start, def_end. A span's
-    home is the passage that overlaps it most, the lowest id on a tie.
+    home is the passage that overlaps it most, the lowest id on a tie; a span that no passage overlaps keeps its row,
+    with a class of its own.
     """
     top = own_hits(hits, items).where(F.col("rank") <= k).select("item_id", "passage_id")
     touched = relevant_pairs(hits, items, gold, k).select("item_id", "g0").distinct()
@@ -145,12 +147,13 @@ def classify_misses(
     sections = top.join(passages.select("passage_id", F.col("section_id").alias("home")), "passage_id").where("home <> ''")
     sections = sections.select("item_id", "home", F.lit(True).alias("same_section")).distinct()
     out = (
-        missed.join(home, ["item_id", "g0"])
+        missed.join(home, ["item_id", "g0"], "left")
         .join(in_def, ["item_id", "g0"], "left")
         .join(sections, ["item_id", "home"], "left")
     )
     why = (
-        F.when(F.col("in_def"), MISS_CLASSES[0])
+        F.when(F.col("home").isNull(), NO_PASSAGE)
+        .when(F.col("in_def"), MISS_CLASSES[0])
         .when(F.col("same_section"), MISS_CLASSES[1])
         .when(F.col("home") == "", MISS_CLASSES[2])
         .otherwise(MISS_CLASSES[3])

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from spanlake.session import cut_lineage
 
 SAMPLE_ROWS = 4096
-# Ranges a group's values are cut into when one rank is looked for.
-RANGES = 32
+# Ranges that values are cut into when one rank is looked for: so many, and one more for each so many values.
+RANGES, RANGE_ROWS = 32, 500_000
 
 
 def splitters(df: DataFrame, key: str, buckets: int) -> list:
@@ -17,10 +17,7 @@ def splitters(df: DataFrame, key: str, buckets: int) -> list:
 
     They come from a hash sample of a few thousand keys, the only rows that reach the driver.
     """
-    total = df.count()
-    if total <= SAMPLE_ROWS:
-        return []
-    keep = max(1, int((1 << 30) * SAMPLE_ROWS / total))
+    keep = max(1, int((1 << 30) * min(1.0, SAMPLE_ROWS / max(1, df.count()))))
     sample = sorted(
         r[0] for r in df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < keep).select(key).dropna().collect()
     )
@@ -89,9 +86,10 @@ def rank_pick(df: DataFrame, keys: list[str], value: str, targets: dict[str, Col
     a wanted rank is sorted, so a group with a third of all rows is never sorted as a whole.
     """
     counts = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
-    probes = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    ranges = RANGES + counts.count() // RANGE_ROWS
+    probes = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     heads = counts.groupBy(*keys).agg(
-        F.percentile_approx(value, probes, F.lit(20 * RANGES)).alias("_cuts"), F.sum("_c").alias("n")
+        F.percentile_approx(value, probes, F.lit(20 * ranges)).alias("_cuts"), F.sum("_c").alias("n")
     )
     want = F.map_from_arrays(
         F.array(*[F.lit(k) for k in targets]), F.array(*[c.cast("long") for c in targets.values()])

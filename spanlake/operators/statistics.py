@@ -12,7 +12,6 @@ from spanlake.session import cut_lineage
 CI_LOW, CI_HIGH = 0.025, 0.975
 CEILING_LO = 0.95
 DRAW_CHUNK = 4096
-BROADCAST_CLUSTERS = 500_000
 DIGITS = 10
 
 
@@ -34,14 +33,12 @@ def draws(groups: DataFrame, keys: list[str], n_boot: int, seed: int) -> DataFra
 def replicates(per: DataFrame, keys: list[str], sums: list[str], n_boot: int, seed: int) -> DataFrame:
     """(keys, b, sums..., n): totals of every bootstrap replicate. `per`: keys, cluster, sums..., n.
 
-    The numbered clusters are written and counted first: up to `BROADCAST_CLUSTERS` narrow rows go to every task,
-    more are met by a shuffle. The draws, which no size estimate foresees, are never the side that is sent around.
+    The numbered clusters are written first, so Spark knows their size when it chooses how draws and clusters meet.
     """
     per = cut_lineage(per)
     idx = cut_lineage(dense_index(per, "cluster", keys, "pick"))
     sizes = per.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
-    sent = F.broadcast(idx) if idx.count() <= BROADCAST_CLUSTERS else idx.hint("shuffle_hash")
-    drawn = draws(sizes, keys, n_boot, seed).join(sent, [*keys, "pick"])
+    drawn = draws(sizes, keys, n_boot, seed).join(idx, [*keys, "pick"])
     return drawn.groupBy(*keys, "b").agg(*[F.sum(s).alias(s) for s in sums], F.sum("n").alias("n"))
 
 

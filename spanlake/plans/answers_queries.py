@@ -41,7 +41,7 @@ def blocks(t):
         F.array(passage, part("amendment", F.col("text"), 2))
     )
     return t.conversations.select(
-        F.col("conv_id").alias("answer_id"), F.col("turn").alias("ref_no"), (F.col("conv_id") * 100 + F.col("turn")).alias("passage_id"),
+        F.col("conv_id").alias("answer_id"), F.col("turn").alias("ref_no"), (F.col("conv_id") * 67108864 + F.col("turn")).alias("passage_id"),
         (F.col("turn") == 0).alias("schedule_ref"), parts.alias("parts"),
     )
 
@@ -75,7 +75,7 @@ def gated(t):
 
 @query(
     "a2_citation_gate",
-    f"""WITH {ANSWERS} SELECT answer_id, claim_no, reason, CASE WHEN reason IS NULL THEN answer_id * 100 + turn END AS passage_id,
+    f"""WITH {ANSWERS} SELECT answer_id, claim_no, reason, CASE WHEN reason IS NULL THEN answer_id * 67108864 + turn END AS passage_id,
         CASE WHEN reason IS NULL THEN CASE WHEN turn % 2 = 0 THEN 'definition' ELSE 'amendment' END END AS part FROM gate""",
 )
 def gate(t):
@@ -268,14 +268,14 @@ def calibration(t):
 
 
 def two_prompt_runs(t):
-    key = F.col("conv_id") * 100 + F.col("turn")
+    key = F.col("conv_id") * 67108864 + F.col("turn")
     a = t.conversations.where("role <> 'system'").select(key.alias("item_id"), F.substring(F.sha1("text"), 1, 12).alias("prompt_sha"), F.split("text", " ").alias("ids"))
     changed = F.when(F.col("turn") % 5 == 1, S("text", F.lit(" !"))).otherwise(F.col("text"))
     b = t.conversations.where("turn < 6").select(key.alias("item_id"), F.substring(F.sha1(changed), 1, 12).alias("prompt_sha"), F.split(changed, " ").alias("ids"))
     return a, b
 
 
-@query("a12_run_parity", "SELECT conv_id * 100 + turn AS item_id, role <> 'system' AND turn < 6 AND turn % 5 <> 1 AS same FROM conversations WHERE role <> 'system' OR turn < 6")
+@query("a12_run_parity", "SELECT conv_id * 67108864 + turn AS item_id, role <> 'system' AND turn < 6 AND turn % 5 <> 1 AS same FROM conversations WHERE role <> 'system' OR turn < 6")
 def parity(t):
     """Prompt hash and ranked ids of two runs, item by item."""
     return A.run_parity(*two_prompt_runs(t), ["item_id"], ["prompt_sha", "ids"])

@@ -245,9 +245,9 @@ def context_tokens(t):
     ps AS (SELECT doc_id AS contract_id, passage_id, start, "end", CASE WHEN ordinal % 7 = 0 THEN '' ELSE 'S' || (ordinal // 5) END AS section_id FROM lines),
     top AS (SELECT item_id, passage_id FROM ihits WHERE contract_id = item_id AND rank <= 5),
     missed AS (SELECT * FROM gold WHERE (item_id, g0) NOT IN (SELECT (item_id, g0) FROM pairs WHERE rank <= 5)),
-    home AS (SELECT item_id, g0, g1, arg_max(section_id, CAST(least("end", g1) - greatest(start, g0) AS HUGEINT) * 1000000000000 - passage_id) AS home
-             FROM missed JOIN ps ON ps.contract_id = missed.contract_id AND start < g1 AND g0 < "end" GROUP BY ALL),
-    cls AS (SELECT item_id, g0, g1, CASE
+    home AS (SELECT item_id, g0, g1, arg_max(section_id, CAST(least("end", g1) - greatest(start, g0) AS HUGEINT) * 100000000000000000000 - passage_id) AS home
+             FROM missed LEFT JOIN ps ON ps.contract_id = missed.contract_id AND start < g1 AND g0 < "end" GROUP BY ALL),
+    cls AS (SELECT item_id, g0, g1, CASE WHEN home IS NULL THEN 'no_passage'
         WHEN EXISTS (SELECT 1 FROM top JOIN pdefs USING (passage_id) WHERE top.item_id = home.item_id AND def_start < g1 AND g0 < def_end) THEN 'definition_missing'
         WHEN home <> '' AND EXISTS (SELECT 1 FROM top JOIN ps USING (passage_id) WHERE top.item_id = home.item_id AND ps.section_id = home.home) THEN 'right_section_wrong_passage'
         WHEN home = '' THEN 'unsectioned_gold' ELSE 'wrong_section' END AS miss_class FROM home)
@@ -270,13 +270,13 @@ def miss_sample(t):
 
 
 DISPUTES = r"""
-    dsp AS (SELECT conv_id AS cluster, CAST(turn % 3 <> 0 AND length(regexp_replace(substring(text, 5, 12), '\s', '', 'g')) >= 10 AS DOUBLE) AS value FROM conversations)
+    dsp AS (SELECT conv_id AS cluster, CAST(turn % 3 <> 0 AND length(regexp_replace(substring(text, length(text) // 2 + 1), '\s', '', 'g')) >= 10 AS DOUBLE) AS value FROM conversations)
 """
 
 
 def disputes(t):
-    """Turns judged by replies that quote them; every third reply says no, short quotes do not count."""
-    quote = F.substring("text", 5, 12)
+    """Turns judged by replies that quote their second half; every third reply says no, short quotes do not count."""
+    quote = F.substr(F.col("text"), F.floor(F.length("text") / 2).cast("int") + 1)
     reply = F.concat(F.lit("Sure: "), F.to_json(F.struct((F.col("turn") % 3 != 0).alias("answers"), quote.alias("quote"))), F.lit(" done"))
     return t.conversations.select(F.col("conv_id").alias("cluster"), "turn", disputed(reply, F.col("text")).cast("double").alias("value"))
 

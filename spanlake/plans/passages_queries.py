@@ -27,7 +27,7 @@ def segments(t):
 )
 def sections(t):
     """Section ids in order: the table of contents is skipped."""
-    s = P.segment(agreements(t), max_chars=10_000_000).where("section_id <> ''")
+    s = P.segment(agreements(t), max_chars=None).where("section_id <> ''")
     per = s.groupBy("doc_id").agg(
         F.sort_array(F.collect_list(F.struct("ordinal", "section_id"))).alias("l"), F.count(F.lit(1)).alias("n_sections")
     )
@@ -63,7 +63,7 @@ def toc(t):
 )
 def articles(t):
     """The article each section belongs to."""
-    s = P.segment(agreements(t), max_chars=10_000_000).where("section_id <> ''")
+    s = P.segment(agreements(t), max_chars=None).where("section_id <> ''")
     return s.select("doc_id", "section_id", F.regexp_extract("section_path", "^Article ([^ ]+) ", 1).alias("article"))
 
 
@@ -75,7 +75,7 @@ def articles(t):
 )
 def paths(t):
     """Title and path of every section's first passage."""
-    s = P.segment(agreements(t), max_chars=10_000_000).where("section_id <> ''")
+    s = P.segment(agreements(t), max_chars=None).where("section_id <> ''")
     return s.select("doc_id", "section_path", "section_title")
 
 

@@ -208,7 +208,7 @@ def rerank(t):
 @query(
     "q9_pair_scores",
     r"""WITH w AS (SELECT conv_id, turn, text, role, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS k FROM conversations)
-    SELECT a.conv_id * 1000 + a.turn AS query_id, b.conv_id * 1000 + b.turn AS passage_id,
+    SELECT a.conv_id * 67108864 + a.turn AS query_id, b.conv_id * 67108864 + b.turn AS passage_id,
            CAST(len(list_intersect(a.k, b.k)) AS DOUBLE) + CASE WHEN a.role = 'system' THEN 100 ELSE 0 END AS score
     FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""",
 )
@@ -217,8 +217,8 @@ def pair_scores(t):
     c = t.conversations
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("body"))
     pairs = c.join(nxt, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
-        (F.col("conv_id") * 1000 + F.col("turn") + 1).alias("passage_id"),
+        (F.col("conv_id") * 67108864 + F.col("turn")).alias("query_id"),
+        (F.col("conv_id") * 67108864 + F.col("turn") + 1).alias("passage_id"),
         F.col("text").alias("query"), "body", "role",
     )
     old = pairs.where("role = 'system'").select(

@@ -161,17 +161,17 @@ def clients(t):
 
 
 def cached_answers(t):
-    """Turns as cached answers keyed by role and the first letters' hash; some states must not be stored."""
+    """Turns as cached answers keyed by role and the whole turn's hash; some states must not be stored."""
     state = F.when(F.col("turn") % 4 == 0, "answered").when(F.col("turn") % 4 == 1, "not_stated").when(F.col("turn") % 4 == 2, "which_deal").otherwise("busy")
     return t.conversations.select(
-        F.col("role").alias("model"), F.substring(F.sha1(F.substring("text", 1, 2)), 1, 12).alias("prompt_sha"), state.alias("state"),
-        F.md5("text").alias("payload"), (F.col("conv_id") * 100 + F.col("turn")).alias("created"),
+        F.col("role").alias("model"), F.sha1("text").alias("prompt_sha"), state.alias("state"),
+        F.md5("text").alias("payload"), (F.col("conv_id") * 67108864 + F.col("turn")).alias("created"),
     )
 
 
 CACHE = """
-    ca AS (SELECT role AS model, substring(sha1(substring(text, 1, 2)), 1, 12) AS prompt_sha, CASE turn % 4 WHEN 0 THEN 'answered' WHEN 1 THEN 'not_stated' WHEN 2 THEN 'which_deal' ELSE 'busy' END AS state,
-                  md5(text) AS payload, conv_id * 100 + turn AS created FROM conversations),
+    ca AS (SELECT role AS model, sha1(text) AS prompt_sha, CASE turn % 4 WHEN 0 THEN 'answered' WHEN 1 THEN 'not_stated' WHEN 2 THEN 'which_deal' ELSE 'busy' END AS state,
+                  md5(text) AS payload, conv_id * 67108864 + turn AS created FROM conversations),
     cache AS (SELECT model, prompt_sha, arg_max(state, created) AS state, arg_max(payload, created) AS payload, max(created) AS created FROM ca WHERE state IN ('answered', 'not_stated', 'unfiled_schedule') GROUP BY ALL)
 """
 
@@ -183,12 +183,12 @@ def cache(t):
 
 def lookups(t):
     req = t.conversations.select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("id"), "turn", F.lit("user").alias("model"), F.substring(F.sha1(F.substring("text", 1, 2)), 1, 12).alias("prompt_sha")
+        (F.col("conv_id") * 67108864 + F.col("turn")).alias("id"), "turn", F.lit("user").alias("model"), F.sha1("text").alias("prompt_sha")
     )
     return P.cache_lookup(req, P.cache_rows(cached_answers(t)))
 
 
-LOOKUP = f"{CACHE}, lk AS (SELECT conv_id * 100 + turn AS id, turn, c.state AS cached_state, c.payload FROM conversations LEFT JOIN cache c ON c.model = 'user' AND c.prompt_sha = substring(sha1(substring(text, 1, 2)), 1, 12))"
+LOOKUP = f"{CACHE}, lk AS (SELECT conv_id * 67108864 + turn AS id, turn, c.state AS cached_state, c.payload FROM conversations LEFT JOIN cache c ON c.model = 'user' AND c.prompt_sha = sha1(text))"
 
 
 @query("p8_cache_lookup", f"WITH {LOOKUP} SELECT id, cached_state, payload FROM lk")

@@ -21,7 +21,7 @@ def lines(t) -> DataFrame:
         F.col("ordinal").cast("long").alias("ordinal"),
         start.cast("long").alias("start"),
         (start + F.length("body")).cast("long").alias("end"),
-        (F.col("doc_id") * 1000000 + F.col("ordinal")).alias("passage_id"),
+        (F.col("doc_id") * 67108864 + F.col("ordinal")).alias("passage_id"),
         "body",
     )
 
@@ -29,7 +29,7 @@ def lines(t) -> DataFrame:
 LINES = """
     ln0 AS (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS body,
                    CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS BIGINT) AS ordinal FROM documents),
-    lines AS (SELECT doc_id, lang, source, ordinal, body, doc_id * 1000000 + ordinal AS passage_id,
+    lines AS (SELECT doc_id, lang, source, ordinal, body, doc_id * 67108864 + ordinal AS passage_id,
                      CAST(coalesce(sum(length(body) + 1) OVER w, 0) AS BIGINT) AS start,
                      CAST(coalesce(sum(length(body) + 1) OVER w, 0) + length(body) AS BIGINT) AS "end"
               FROM ln0 WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))

@@ -117,7 +117,7 @@ def attached(t):
 def attached_to_segments(t):
     """Definitions attached to the segmenter's passages of every agreement."""
     docs = agreements(t)
-    p = segment(docs).withColumn("passage_id", F.col("doc_id") * 1000000 + F.col("ordinal"))
+    p = segment(docs).withColumn("passage_id", F.col("doc_id") * 67108864 + F.col("ordinal"))
     return D.passage_definitions(p, D.definitions(D.extract_terms(docs))).select(
         "passage_id", "rank", "term", "def_start", "def_end"
     )
@@ -153,7 +153,7 @@ def lexicon_entries(t):
     k = t.benchmark.select("item_id", query_tokens(F.col("text")).alias("k"))
     e = k.select("item_id", F.posexplode("k").alias("i", "phrase"), "k").where(F.col("i") < F.size("k") - 2)
     term = F.concat_ws(" ", F.get("k", F.col("i") + 1), F.get("k", F.col("i") + 2))
-    return e.select("phrase", (F.col("item_id") * 1000 + F.col("i")).alias("pos"), term.alias("term")).groupBy(
+    return e.select("phrase", (F.col("item_id") * 67108864 + F.col("i")).alias("pos"), term.alias("term")).groupBy(
         "phrase", "term"
     ).agg(F.min("pos").alias("pos"))
 
@@ -167,7 +167,7 @@ QTOK = """
 """
 LEXICON = f"""
     {QTOK},
-    lex0 AS (SELECT item_id, k[i + 1] AS phrase, k[i + 2] || ' ' || k[i + 3] AS term, item_id * 1000 + i AS pos
+    lex0 AS (SELECT item_id, k[i + 1] AS phrase, k[i + 2] || ' ' || k[i + 3] AS term, item_id * 67108864 + i AS pos
              FROM (SELECT item_id, k, unnest(range(0, greatest(len(k) - 2, 0))) AS i FROM qk)),
     lexicon AS (SELECT phrase, term, min(pos) AS pos FROM lex0 GROUP BY ALL)
 """

@@ -62,15 +62,19 @@ def row_digest(key: Column, text: Column) -> Column:
     return F.sha2(F.concat_ws("|", key.cast("string"), F.sha2(text, 256)), 256)
 
 
-def table_fingerprint(rows: DataFrame, key: str, text: str, name: str, width: int = 4) -> DataFrame:
+def table_fingerprint(rows: DataFrame, key: str, text: str, name: str, rows_per_digest: int = 4096) -> DataFrame:
     """A digest of a keyed table that does not depend on row order.
 
-    Row digests are folded in a tree: first per `width`-digit prefix, then per two digits, then once over at most
-    256 digests, so no task holds more than one prefix's rows.
+    Row digests are folded in a tree: first per prefix, as long as it takes for one to hold about `rows_per_digest`
+    rows (four hex digits at least, two more for every 256 times the rows), then per prefix of two digits less, so no task
+    holds more than one prefix's digests whatever the size of the table.
     """
+    width, n = 4, rows.count()
+    while n > rows_per_digest * 16**width:
+        width += 2
     level = rows.select(row_digest(F.col(key), F.col(text)).alias("d"), F.lit(1).cast("long").alias("n"))
     level = level.withColumn("p", F.substring("d", 1, width))
-    for digits in (2, 0):
+    for digits in range(width - 2, -1, -2):
         folded = level.groupBy("p").agg(
             F.sha2(F.array_join(F.sort_array(F.collect_list("d")), ""), 256).alias("d"), F.sum("n").alias("n")
         )
