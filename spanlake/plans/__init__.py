@@ -7,6 +7,7 @@ import importlib.util
 
 QUERY_MODULES = (
     "sources",
+    "files",
     "cleaning",
     "passages",
     "terms",

@@ -9,9 +9,8 @@ from spanlake.functions.text import canonical, decode_bytes
 
 
 def read_corpus(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame:
-    """One row per text file: contract_id is the file name without its suffix, text is canonical."""
+    """One row per text file: contract_id is the file name without its suffix, text is canonical. A file of no bytes gives no row."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
     return canonicalise(
         files.select(
             F.expr(f"left(element_at(split(path, '/'), -1), length(element_at(split(path, '/'), -1)) - {len(suffix)})").alias(

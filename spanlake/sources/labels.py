@@ -24,7 +24,7 @@ CSV_SCHEMA = T.StructType(
 
 
 def read_labels(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Every row of the label files, all columns as strings, quoted line breaks kept."""
+    """Every row of the label files, all columns as strings (an empty field is an empty string), quoted line breaks kept."""
     return (
         spark.read.schema(CSV_SCHEMA)
         .option("header", True)
@@ -32,6 +32,7 @@ def read_labels(spark: SparkSession, paths: list[str]) -> DataFrame:
         .option("escape", '"')
         .option("mode", "FAILFAST")
         .csv(paths)
+        .na.fill("")
     )
 
 
