@@ -39,7 +39,7 @@ def hashed_words(text: str) -> list[float]:
     return [x / length for x in v]
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def hashed_embedder(texts: pd.Series) -> pd.Series:
     return texts.map(hashed_words)
 

@@ -358,7 +358,41 @@ def deal_rung_query(rung: str):
     return run
 
 
-for _rung in ("R2", "R3", "R4", "R5", "R6", "R6n"):
+# The hashed embedder in SQL: a word's slot is its sha1 modulo 384, from its remainders by 128 (the low seven bits) and by 3
+# (the sum of the hex digits, as 16 leaves 1); a text without words has all its weight in slot 0.
+EMBEDDED = r"""
+    wd0 AS (SELECT DISTINCT unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS w FROM lines),
+    wd1 AS (SELECT w, ('0x' || right(sha1(w), 2))::INTEGER & 127 AS a, CAST(list_sum([('0x' || d)::INTEGER FOR d IN string_split(sha1(w), '')]) % 3 AS INTEGER) AS b FROM wd0),
+    slots AS (SELECT w, a + 128 * ((((b - a) * 2) % 3 + 3) % 3) AS slot FROM wd1),
+    ln2 AS (SELECT passage_id, doc_id, ordinal, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS w FROM lines),
+    vec0 AS (SELECT passage_id, doc_id, ordinal, slot, CAST(count(*) AS DOUBLE) AS x FROM ln2 JOIN slots USING (w) GROUP BY ALL
+             UNION ALL SELECT passage_id, doc_id, ordinal, 0, 1.0 FROM lines WHERE NOT regexp_matches(lower(body), '[a-z0-9]')),
+    vec AS (SELECT *, x / sqrt(sum(x * x) OVER (PARTITION BY passage_id)) AS v FROM vec0),
+    near0 AS (SELECT q.doc_id AS query_id, p.passage_id, sum(q.v * p.v) AS s FROM vec q JOIN vec p ON p.doc_id = q.doc_id AND p.slot = q.slot
+              WHERE q.ordinal = 0 GROUP BY ALL),
+    asked AS (SELECT doc_id FROM lines WHERE ordinal = 0 AND regexp_matches(body, '[A-Za-z0-9]')),
+    scored AS (SELECT asked.doc_id AS query_id, lines.passage_id, round(coalesce(s, 0.0), 9) AS score FROM asked JOIN lines USING (doc_id)
+               LEFT JOIN near0 ON near0.query_id = asked.doc_id AND near0.passage_id = lines.passage_id),
+    dense_leg AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM scored)
+"""
+LADDER_DEPTH = 20
+R2_SQL = f"WITH {LINES}, {EMBEDDED} SELECT query_id, CAST(rank AS INTEGER) AS rank, passage_id, round(score, 6) AS score FROM dense_leg WHERE rank <= 10"
+R3_SQL = f"""
+    WITH {LINES}, {TOKENS}, {EMBEDDED},
+    lexical_leg AS ({bm25_sql(OWN_QUESTIONS, scoped=True, k=LADDER_DEPTH).replace("round(score, 6) AS score", "score")}),
+    legs AS (SELECT query_id, passage_id, rank, score, 'bm25' AS leg FROM lexical_leg
+             UNION ALL SELECT query_id, passage_id, rank, score, 'dense' FROM dense_leg WHERE rank <= {LADDER_DEPTH}),
+    fused AS (SELECT query_id, passage_id, round(sum(1.0 / (10 + rank)), 12) AS score,
+                     CAST(max(rank) FILTER (WHERE leg = 'bm25') AS INTEGER) AS bm25_rank, max(score) FILTER (WHERE leg = 'bm25') AS bm25_score,
+                     CAST(max(rank) FILTER (WHERE leg = 'dense') AS INTEGER) AS dense_rank, max(score) FILTER (WHERE leg = 'dense') AS dense_score
+              FROM legs GROUP BY query_id, passage_id),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM fused)
+    SELECT query_id, passage_id, round(score, 6) AS score, bm25_rank, bm25_score, dense_rank, dense_score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10
+"""
+query("q13_rung_r2", R2_SQL)(rung_query("R2"))
+query("q13_rung_r3", R3_SQL)(rung_query("R3"))
+
+for _rung in ("R4", "R5", "R6", "R6n"):
     query(f"q13_rung_{_rung.lower()}")(rung_query(_rung))
 for _rung in ("R7", "R7n"):
     query(f"q13_rung_{_rung.lower()}")(deal_rung_query(_rung))
