@@ -389,10 +389,19 @@ R3_SQL = f"""
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM fused)
     SELECT query_id, passage_id, round(score, 6) AS score, bm25_rank, bm25_score, dense_rank, dense_score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10
 """
+R4_SQL = R3_SQL[: R3_SQL.index("    SELECT query_id, passage_id, round(score, 6)")].rstrip() + r""",
+    words AS (SELECT passage_id, list_distinct(regexp_extract_all(lower(body), '[a-z0-9]+')) AS k FROM lines),
+    asked_words AS (SELECT doc_id AS query_id, list_distinct(regexp_extract_all(lower(body), '[a-z0-9]+')) AS k FROM lines WHERE ordinal = 0),
+    pairs AS (SELECT ranked.*, rank <= 10 AS head, CASE WHEN rank <= 10 THEN CAST(len(list_intersect(asked_words.k, words.k)) AS DOUBLE) ELSE score END AS s
+              FROM ranked JOIN asked_words USING (query_id) JOIN words USING (passage_id) WHERE rank <= 40),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY head DESC, CASE WHEN head THEN s END DESC, CASE WHEN head THEN passage_id ELSE rank END) AS place FROM pairs)
+    SELECT query_id, passage_id, CAST(place AS INTEGER) AS rank, round(s, 6) AS score, bm25_rank, bm25_score, dense_rank, dense_score FROM placed WHERE place <= 10
+"""
+query("q13_rung_r4", R4_SQL)(rung_query("R4"))
 query("q13_rung_r2", R2_SQL)(rung_query("R2"))
 query("q13_rung_r3", R3_SQL)(rung_query("R3"))
 
-for _rung in ("R4", "R5", "R6", "R6n"):
+for _rung in ("R5", "R6", "R6n"):
     query(f"q13_rung_{_rung.lower()}")(rung_query(_rung))
 for _rung in ("R7", "R7n"):
     query(f"q13_rung_{_rung.lower()}")(deal_rung_query(_rung))

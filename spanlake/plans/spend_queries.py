@@ -70,7 +70,23 @@ def requests(t):
 MONTH_CAP, DAY_CAP = 6_000_000, 230_000
 
 
-@query("p3_capped_admission")
+@query(
+    "p3_capped_admission",
+    f"""WITH RECURSIVE e AS (
+        SELECT *, row_number() OVER (PARTITION BY month ORDER BY t, id) AS n FROM (
+            SELECT event_id AS id, epoch_us(ts) AS t, CAST(round(value * 100) AS BIGINT) AS worst, strftime(ts, '%Y-%m') AS month, CAST(ts AS DATE) AS day FROM events)),
+    w AS (
+        SELECT id, month, t, worst, day, n, worst <= {MONTH_CAP} AND worst <= {DAY_CAP} AS admitted,
+               CASE WHEN worst <= {MONTH_CAP} AND worst <= {DAY_CAP} THEN worst ELSE 0 END AS in_month,
+               CASE WHEN worst <= {MONTH_CAP} AND worst <= {DAY_CAP} THEN worst ELSE 0 END AS in_day
+        FROM e WHERE n = 1
+        UNION ALL
+        SELECT id, month, t, worst, day, n, fits, in_month + CASE WHEN fits THEN worst ELSE 0 END, today + CASE WHEN fits THEN worst ELSE 0 END
+        FROM (SELECT e.*, w.in_month, CASE WHEN w.day = e.day THEN w.in_day ELSE 0 END AS today,
+                     w.in_month + e.worst <= {MONTH_CAP} AND CASE WHEN w.day = e.day THEN w.in_day ELSE 0 END + e.worst <= {DAY_CAP} AS fits
+              FROM w JOIN e ON e.month = w.month AND e.n = w.n + 1))
+    SELECT id, month, t, worst, admitted FROM w""",
+)
 def admission(t):
     """Every event as a request in cents, under a month and a day cap."""
     return P.admit(requests(t), MONTH_CAP, DAY_CAP)
