@@ -52,24 +52,75 @@ def _price(duals: np.ndarray, lengths: np.ndarray, size: int) -> tuple[float, np
     return float(gains[end]), column
 
 
-def solve(demand: dict[int, int], size: int, rounds: int = 600, gap: float = 2e-3) -> list[Pattern]:
+def _start(need: dict[int, int], size: int) -> tuple[list[dict[int, int]], list[float]]:
+    """A feasible basis close to the optimum: patterns without padding where there are any, each used until one of its lengths is spent.
+
+    For the longest length left, the rest of the sequence is filled by one length, by two, or by the longest that fits and then again. As each
+    pattern spends a length, the patterns are as many as the lengths and, in this order, triangular.
+    """
+    left = np.zeros(size + 1)
+    for n, k in need.items():
+        left[n] = k
+    patterns, shares, spent = [], [], set()
+    while left.any():
+        n = int(np.flatnonzero(left)[-1])
+        taken, room = {n: 1}, size - n
+        while room > 0:
+            free = left - np.array([taken.get(k, 0) for k in range(size + 1)]) > 0
+            half = np.minimum(left[1:room] * free[1:room], (left[1:room] * free[1:room])[::-1])
+            if room % 2 == 0 and len(half):
+                half[room // 2 - 1] /= 2
+            one, two = left[room] * free[room], half.max(initial=0)
+            if one > 0 and one >= min(two, left[n]):
+                parts = [room]
+            elif two > 0:
+                k = int(half.argmax()) + 1
+                parts = [k, room - k]
+            elif padded(size - room, size) == size - room or not free[1 : room + 1].any():
+                break
+            else:
+                parts = [int(np.flatnonzero(free[1 : room + 1])[-1]) + 1]
+            for k in parts:
+                taken[k] = taken.get(k, 0) + 1
+                room -= k
+        share = min(left[k] / c for k, c in taken.items())
+        first = next(k for k, c in taken.items() if left[k] / c == share)
+        for k, c in taken.items():
+            left[k] = 0 if k == first or left[k] - share * c < 1e-9 else left[k] - share * c
+        patterns.append(taken)
+        shares.append(share)
+        spent.add(first)
+        for k in taken:
+            if left[k] == 0 and k not in spent:  # two lengths spent at once
+                patterns.append({k: size // k})
+                shares.append(0.0)
+                spent.add(k)
+    return patterns, shares
+
+
+def solve(demand: dict[int, int], size: int, rounds: int = 150, gap: float = 1e-3) -> list[Pattern]:
     """Patterns without padding that together need no more pieces of any length than `demand` has.
 
-    The linear program by column generation: the revised simplex starts from one-length patterns, and each round the
-    knapsack prices one column in and the ratio test one out. It ends when no column pays, when the padding left is
-    under `gap` of all ids, or after `rounds`. The solution is rounded down, and patterns that would be padded are left
-    out: what they and the rounding leave is cut freely by `pack`, so stopping early costs no padding. All of it works
-    on the histogram, at most `size` - 1 numbers.
+    The linear program by column generation: the revised simplex starts from `_start`; each round the knapsack prices
+    one column in and the ratio test one out. It ends when no column pays, when the padding left is under `gap` of
+    all ids, or after `rounds`. The solution is rounded down, and patterns that would be padded are left out: what they
+    and the rounding leave is cut freely by `pack`, so stopping early costs no padding. All of it works on the
+    histogram, at most `size` - 1 numbers.
     """
     lengths = np.array(sorted(n for n in demand if demand[n] > 0), dtype=np.int64)
     if not len(lengths):
         return []
+    at = {int(n): k for k, n in enumerate(lengths)}
     need = np.array([demand[int(n)] for n in lengths], dtype=float)
-    fill = size // lengths
-    columns = np.diag(fill.astype(float))
-    cost = np.array([padded(int(f * n), size) for f, n in zip(fill, lengths, strict=True)], dtype=float)
-    inverse, x = np.diag(1 / fill), need / fill
+    patterns, shares = _start({int(n): demand[int(n)] for n in lengths}, size)
+    columns = np.zeros((len(lengths), len(lengths)))
+    for k, taken in enumerate(patterns):
+        for n, c in taken.items():
+            columns[at[n], k] = c
+    x = np.array(shares)
+    cost = np.array([padded(int(c @ lengths), size) for c in columns.T], dtype=float)
     least = float(need @ lengths)
+    inverse = np.linalg.inv(columns) if cost @ x > least * (1 + gap) else None
     for k in range(rounds):
         if cost @ x <= least * (1 + gap):
             break
@@ -111,7 +162,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, size: int, id_col: str = "
         for batch in batches:
             rows, starts, parts, totals = [], [], [], []
             for row, text in enumerate(batch.column(1)):
-                raw = encode_text(text.as_py()) + tail
+                raw = encode_text(text.as_buffer().to_pybytes() if text.is_valid else None) + tail
                 for begin in range(0, len(raw), size * ID_BYTES):
                     rows.append(row)
                     starts.append(begin // ID_BYTES)
@@ -148,28 +199,27 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 1024, id_col:
     a length takes the k-th slot of that length. Rests without a slot (what rounding leaves, fewer than a few for each
     pattern) stand one after another and are cut where a sequence is full, so only the last sequence is padded.
 
-    Ranks are counted in hash buckets whose number follows the number of pieces, so that a length which a third of
+    Only rests are ranked and moved. Ranks are counted in hash buckets whose number follows the number of pieces, so that a length which a third of
     all documents share is many small groups. Only the histogram (under `size` rows) reaches the driver and only the slot
     table (rows for each length and pattern) goes back. Texts do not move: tokens are made in the scan. A null or empty
     text is the single `end_id`; repeated rows are packed as often as they occur; an empty table gives no row.
     """
     spark = docs.sparkSession
-    pieces = cut_lineage(cut(docs, tokenizer, end_id, size, id_col, text_col).withColumn("tie", F.xxhash64("doc_id", "start", "ids")))
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    whole = histogram.pop(size, 0)
+    pieces = cut_lineage(cut(docs, tokenizer, end_id, size, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()))
+    rests = pieces.where(F.col("length") < size)
+    histogram = {r["length"]: r["n"] for r in rests.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots, taken, sequences = _slots(solve(histogram, size))
-    if whole:
-        slots.append((size, 0, whole, 1, sequences, 0))
-    stream, streams = (sequences + whole) * size, []
+    stream, streams = sequences * size, []
     for n in sorted(histogram):
         streams.append((n, taken.get(n, 0), stream))
         stream += n * (histogram[n] - taken.get(n, 0))
-    buckets = max(1, -(-(whole + sum(histogram.values())) // rows_per_rank_bucket))
-    keyed = pieces.withColumn("bucket", F.pmod("tie", F.lit(buckets)))
+    sequences = -(-stream // size)
+    buckets = max(1, -(-sum(histogram.values()) // rows_per_rank_bucket))
+    keyed = rests.withColumn("bucket", F.pmod(F.xxhash64("uid"), F.lit(buckets)))
     counted = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = counted.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("length", "bucket").orderBy("tie", "doc_id", "start")
+    within = Window.partitionBy("length", "bucket").orderBy("uid")
     ranked = keyed.withColumn("n", F.row_number().over(within)).join(bases, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("n") - 1)
     table = spark.createDataFrame(slots, "length long, low long, high long, per long, first_sequence long, at long")
     runs = table.groupBy("length").agg(F.collect_list(F.struct("low", "high", "per", "first_sequence", "at")).alias("runs"))
@@ -185,7 +235,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 1024, id_col:
     halves = F.when(F.col("length") <= room, F.array(F.struct(F.lit(0).cast("long").alias("skip"), F.col("length").alias("take")))).otherwise(
         F.array(F.struct(F.lit(0).cast("long").alias("skip"), room.alias("take")), F.struct(room.alias("skip"), (F.col("length") - room).alias("take")))
     )
-    return placed.withColumn("half", F.explode(halves)).select(
+    full = pieces.where(F.col("length") == size).select(
+        "doc_id", "start", "length", "ids", "doc_tokens", (F.col("uid") + sequences).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+    )
+    return full.unionByName(placed.withColumn("half", F.explode(halves)).select(
         "doc_id",
         (F.col("start") + F.col("half.skip")).alias("start"),
         F.col("half.take").alias("length"),
@@ -193,4 +246,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 1024, id_col:
         "doc_tokens",
         F.floor((F.col("place") + F.col("half.skip")) / size).alias("sequence_id"),
         F.pmod(F.col("place") + F.col("half.skip"), F.lit(size)).alias("offset"),
-    )
+    ))
