@@ -8,8 +8,10 @@ import sys
 from array import array
 
 WHITE = r" \t\n\r\f\v"
-#: White space outside ASCII; a text that holds any is encoded in one piece.
-OTHER_WHITE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+#: What keeps a text from being cut before each space and line end: a run of them, other white space, the mark used for cutting.
+RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\f", "\v", "\0")
+OTHER_WHITE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"  # letters, each one code point in normal form
 
 
 def _byte_letters() -> dict[int, str]:
@@ -20,65 +22,103 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Ids of texts as bytes (little-endian unsigned 32-bit), equal to `Tokenizer.encode(..., add_special_tokens=False)`.
+    """Ids of UTF-8 texts as bytes (little-endian unsigned 32-bit), equal to `Tokenizer.encode(..., add_special_tokens=False)`.
 
     Both supported families split at white space before any merge, so a text is cut at ASCII white space and each
-    piece's ids are kept: words repeat far more than texts. Pieces of printable ASCII go to the model's merges
-    directly, all others through the whole tokenizer. The store is emptied when it holds `most` pieces; that bounds a
-    worker's memory and changes no result. A text with white space outside ASCII, or a tokenizer of another family,
-    is encoded in one piece.
+    piece's ids are kept: words repeat far more than texts. Pieces of printable ASCII and Latin letters go to the
+    model's merges directly, all others through the whole tokenizer. Pieces live in two generations of `most` each; the
+    older one is dropped when the newer is full, which bounds a worker's memory and changes no result. Texts whose
+    white space cannot be cut so, and those of tokenizers of another family, are encoded in one piece.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.most = most
         steps = repr(self.tokenizer.normalizer), repr(self.tokenizer.pre_tokenizer)
-        self.kind = "plain"
+        self.simple = re.compile(f"[\n ]?[!-~{LATIN}]+")
+        self.letters = _byte_letters()
+        self.encode = self._encode_whole
         if "Split" in steps[1] and "Removed" in steps[1] and "Lowercase" in steps[0]:
-            self.kind = "lower"
-            self.cut = re.compile(f"[^{WHITE}]+")
-            self.parts = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+            self.encode, self._piece = self._encode_words, self._lower_piece
+            self.parts = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^\s0-9{LATIN}]+")
         elif steps[0] == "None" and re.fullmatch(r"ByteLevel\(add_prefix_space=False, trim_offsets=\w+, use_regex=True\)", steps[1]):
-            self.kind = "bytes"
+            self.encode, self._piece = self._encode_spaced, self._spaced_piece
             self.cut = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-            self.parts = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
-        self.letters = _byte_letters()
-        self.simple = re.compile(r"[\n ]*[!-~]+")
+            self.parts = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^\s0-9{LATIN}]+|\s+(?!\S)|\s+")
+        self.most, self.small, self.old, self.new = most, {}, {}, self._generation()
+        self.get = self.new.__getitem__
+
+    def _generation(self) -> dict:
         encoder = self
 
-        class Store(dict):
-            def __missing__(self, piece: str) -> bytes:
-                ids = self[piece] = encoder._piece(piece)
+        class Generation(dict):
+            def __missing__(self, piece):
+                ids = self[piece] = encoder.old.get(piece) or encoder._piece(piece)
                 return ids
 
-        self.store = Store()
+        return Generation()
+
+    def _joined(self, pieces: list) -> bytes:
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, self._generation()
+            self.get = self.new.__getitem__
+        return b"".join(map(self.get, pieces))
 
     def _whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _piece(self, piece: str) -> bytes:
-        if not self.simple.fullmatch(piece):
+    def _is_simple(self, piece: str) -> bool:
+        if piece.isascii():
+            return " " not in piece[1:] and (piece[1:] if piece[:1] == "\n" else piece).isprintable()
+        return bool(self.simple.fullmatch(piece))
+
+    def _merged(self, parts: list[str]) -> bytes:
+        return b"".join([self.small.get(x) or self._part(x) for x in parts])
+
+    def _part(self, part: str) -> bytes:
+        """The ids of what the tokenizer merges as one, in the letters of its byte alphabet."""
+        if not part.isascii():
+            mapped = part.encode().decode("latin-1").translate(self.letters)
+        elif part[0] == " ":
+            mapped = self.letters[32] + part[1:]
+        else:
+            mapped = part if part.isprintable() else part.translate(self.letters)
+        if len(self.small) > self.most:
+            self.small.clear()
+        ids = self.small[part] = _packed([token.id for token in self.model.tokenize(mapped)])
+        return ids
+
+    def _lower_piece(self, raw: bytes) -> bytes:
+        piece = raw.decode()
+        if not self._is_simple(piece):
             return self._whole(piece)
-        if self.kind == "lower":
-            piece = piece.lower()
-        found = self.parts.findall(piece)
-        if self.kind == "bytes":
-            found = [x.translate(self.letters) for x in found]
-        return _packed([token.id for x in found for token in self.model.tokenize(x)])
-
-    def encode(self, text: str | None) -> bytes:
+        piece = piece.lower()
+        return self._merged([piece] if piece.isalpha() else self.parts.findall(piece))
+
+    def _spaced_piece(self, piece: str) -> bytes:
+        if not self._is_simple(piece):
+            return self._whole(piece)
+        return self._merged([piece] if piece[:1] == " " and piece[1:].isalpha() else self.parts.findall(piece))
+
+    def _encode_whole(self, text: bytes | None) -> bytes:
+        return self._whole(text.decode()) if text else b""
+
+    def _encode_words(self, text: bytes | None) -> bytes:
+        return self._joined(text.split()) if text else b""
+
+    def _encode_spaced(self, text: bytes | None) -> bytes:
         if not text:
             return b""
-        if self.kind == "plain" or OTHER_WHITE.search(text):
+        text = text.decode()
+        if OTHER_WHITE.search(text):
             return self._whole(text)
-        if len(self.store) > self.most:
-            self.store.clear()
-        return b"".join(map(self.store.__getitem__, self.cut.findall(text)))
+        if any(run in text for run in RUNS):
+            return self._joined(self.cut.findall(text))
+        return self._joined(text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0"))
 
 
 def _packed(ids: list[int]) -> bytes:
