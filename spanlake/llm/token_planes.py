@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,10 @@ ID_BYTES = 4
 BLOCK_FIELDS = "planes array<binary>, raw_crc32 long, seqs array<long>, begins array<long>, lengths array<int>"
 
 
+def part_schema(id_type: str) -> str:
+    return f"shard int, seq long, first long, n long, {BLOCK_FIELDS}, doc_id {id_type}, kind string"
+
+
 def to_planes(ids: np.ndarray, bits: bool, level: int = 3) -> list[bytes]:
     """The planes of a block, lowest first: plane k holds byte (or bit) k of every id. All-zero planes shrink to a few bytes."""
     raw = np.ascontiguousarray(ids, dtype="<u4").view(np.uint8).reshape(-1, ID_BYTES)
@@ -44,7 +49,7 @@ def from_planes(planes: list[bytes], n: int) -> np.ndarray:
 class _Shard:
     """The open block of one task and the documents that ended in it."""
 
-    def __init__(self, kind: T.DataType, schema: T.StructType, bits: bool):
+    def __init__(self, schema: T.StructType, bits: bool):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         self.schema, self.bits = to_arrow_schema(schema), bits
@@ -101,14 +106,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None, id_col
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange(count, "id", "tie").sortWithinPartitions("id", "tie").select("id", "text", F.spark_partition_id().alias("shard"))
     tail = b"" if end_id is None else int(end_id).to_bytes(ID_BYTES, "little")
-    kind = docs.schema[id_col].dataType
-    out = T.StructType(T.StructType.fromDDL("kind string, shard int, seq long, first long, n long, " + BLOCK_FIELDS).fields + [T.StructField("doc_id", kind)])
+    out = T.StructType.fromDDL(part_schema(docs.schema[id_col].dataType.simpleString()))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_text, shard = encoder(tokenizer).encode, _Shard(kind, out, bits)
+        encode_text, shard = encoder(tokenizer).encode, _Shard(out, bits)
         for batch in batches:
             for doc, text, where in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                yield from shard.add(where, doc, encode_text(text.as_py()) + tail)
+                yield from shard.add(where, doc, encode_text(text.as_buffer().to_pybytes() if text.is_valid else None) + tail)
         yield shard.flush()
 
     ordered.mapInArrow(encode, out).write.partitionBy("kind").option("compression", "none").parquet(f"{path}/parts")
@@ -118,12 +122,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None, id_col
     index.coalesce(1).write.parquet(f"{path}/index")
 
 
-def open_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def open_files(spark: SparkSession, path: str, id_type: str = "long") -> tuple[DataFrame, DataFrame, DataFrame]:
     """`(blocks, docs, index)` of files that `write` made; `index` also has the id at which each shard starts."""
     index = spark.read.schema("shard int, n_ids long, blocks long, docs long").parquet(f"{path}/index")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     index = index.withColumn("shard_start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))  # one row a shard
-    parts = spark.read.parquet(f"{path}/parts")
+    parts = spark.read.schema(part_schema(id_type)).parquet(f"{path}/parts")
     blocks = parts.where("kind = 'block'").select("shard", F.col("seq").alias("block"), "first", "n", *T.StructType.fromDDL(BLOCK_FIELDS).names)
     return blocks, parts.where("kind = 'doc'").select("shard", "seq", "first", "n", "doc_id"), index
 
@@ -137,13 +141,22 @@ def _times(matrix: list[int], vector: int) -> int:
     return total
 
 
+@cache
+def _shift(power: int) -> list[int]:
+    """The matrix that takes a crc32 through 2^power zero bits: one zero bit by the reflected polynomial, then squared."""
+    if power == 0:
+        return [0xEDB88320, *(1 << k for k in range(31))]
+    half = _shift(power - 1)
+    return [_times(half, column) for column in half]
+
+
 def crc32_joined(first: int, second: int, second_bytes: int) -> int:
-    """The crc32 of two strings joined, from their own: `first` goes through as many zero bits as the second has, by repeated squaring."""
-    shift, bits = [0xEDB88320, *(1 << k for k in range(31))], 8 * second_bytes  # the polynomial, reflected
+    """The crc32 of two strings joined, from their own: `first` goes through as many zero bits as the second has."""
+    bits, power = 8 * second_bytes, 0
     while bits:
         if bits & 1:
-            first = _times(shift, first)
-        shift, bits = [_times(shift, column) for column in shift], bits >> 1
+            first = _times(_shift(power), first)
+        bits, power = bits >> 1, power + 1
     return first ^ second
 
 
@@ -152,23 +165,24 @@ def read_pieces(blocks: DataFrame) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                raw = from_planes(row["planes"], row["n"]).tobytes()
-                if zlib.crc32(raw) != row["raw_crc32"]:
-                    raise ValueError(f"block {row['block']} of shard {row['shard']} is damaged")
-                ends = (ID_BYTES * np.cumsum(row["lengths"])).tolist()
-                ids = [raw[end - ID_BYTES * n : end] for end, n in zip(ends, row["lengths"], strict=True)]
-                columns = [pa.array([row["shard"]] * len(ids), pa.int32()), pa.array(row["seqs"], pa.int64()), pa.array(row["begins"], pa.int64()), pa.array(ids, pa.binary())]
+            for shard, block, n, planes, crc, seqs, begins, lengths in zip(*batch.columns, strict=True):
+                raw = from_planes(planes.as_py(), n.as_py()).tobytes()
+                if zlib.crc32(raw) != crc.as_py():
+                    raise ValueError(f"block {block} of shard {shard} is damaged")
+                # The pieces lie end to end: the block's bytes and their ends are the column as it is.
+                ends = np.concatenate(([0], np.cumsum(lengths.values.to_numpy()))).astype(np.int32) * ID_BYTES
+                ids = pa.BinaryArray.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.astype("<i4")), pa.py_buffer(raw)])
+                columns = [pa.array(np.full(len(lengths), shard.as_py(), dtype=np.int32)), seqs.values, begins.values, ids]
                 yield pa.RecordBatch.from_arrays(columns, ["shard", "seq", "begin", "ids"])
 
     wanted = blocks.select("shard", "block", "n", "planes", "raw_crc32", "seqs", "begins", "lengths")
     return wanted.mapInArrow(decode, "shard int, seq long, begin long, ids binary")
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
     """`(doc_id, start, n_tokens, parts)` per document: `start` counts the ids of all documents before it; `parts` are its
     pieces in order, each with its ids."""
-    blocks, docs, index = open_files(spark, path)
+    blocks, docs, index = open_files(spark, path, id_type)
     parts = read_pieces(blocks).groupBy("shard", "seq").agg(F.array_sort(F.collect_list(F.struct("begin", "ids"))).alias("parts"))
     return _placed(docs, index, parts, "parts")
 
@@ -182,13 +196,13 @@ def _placed(docs: DataFrame, index: DataFrame, per_doc: DataFrame, *columns: str
     )
 
 
-def digests(spark: SparkSession, path: str) -> DataFrame:
+def digests(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
     """`(doc_id, start, n_tokens, ids_crc32)` per document, read back from the files.
 
     A piece is digested where it is decoded and a document of several pieces joins their crc32s, so no row holds more
     than a block, and a document of any length is a short list of numbers.
     """
-    blocks, docs, index = open_files(spark, path)
+    blocks, docs, index = open_files(spark, path, id_type)
 
     @F.udf("long")
     def joined(parts):
