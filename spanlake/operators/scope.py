@@ -107,7 +107,8 @@ def resolve(queries: DataFrame, aliases: DataFrame, common: DataFrame | None = N
     """The deal each question names, and the candidates it could be.
 
     Targets beat parents and the longest alias wins; several deals leave the question ambiguous (null contract).
-    Returns (query_id, contract_id, alias, n_candidates) for every query, and (query_id, contract_id) candidates.
+    Returns (query_id, contract_id, alias, n_candidates) for every query, and its best aliases as (query_id, alias, kind,
+    n_deals), one row each; `alias_names` lists an alias's deals, and only a reader that wants the pairs joins the two.
     A question with one best alias takes its count of deals from the alias; only questions with several best aliases
     are expanded to deals to count them once each.
     """
@@ -130,7 +131,7 @@ def resolve(queries: DataFrame, aliases: DataFrame, common: DataFrame | None = N
         "query_id", F.when(F.col("n_candidates") == 1, F.col("_one")).alias("contract_id"), "alias",
         F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"),
     )
-    return out, top.join(links, ["alias", "kind"]).select("query_id", "contract_id").distinct()
+    return out, top.join(names, ["alias", "kind"]).select("query_id", "alias", "kind", F.col("n").alias("n_deals"))
 
 
 _WORD = re.compile("[A-Za-z0-9]+|&")

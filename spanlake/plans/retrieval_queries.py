@@ -297,11 +297,21 @@ def resolve(t):
     return S.resolve(*resolver_parts(t))[0]
 
 
-@query("q11_candidates", f"WITH {LINES}, {TOKENS}, {RESOLVER} SELECT DISTINCT query_id, contract_id FROM atop")
+@query(
+    "q11_candidates",
+    f"""WITH {LINES}, {TOKENS}, {RESOLVER}, deals AS (SELECT alias, kind, count(DISTINCT contract_id) AS n_deals FROM aliases GROUP BY ALL)
+    SELECT DISTINCT query_id, alias, kind, n_deals FROM atop JOIN deals USING (alias, kind)""",
+)
 def candidates(t):
+    """The best aliases of every line and how many deals bear each; `q11_alias_deals` names the deals."""
     return S.resolve(*resolver_parts(t))[1]
 
 
+@query("q11_alias_deals", f"WITH {LINES}, {TOKENS}, {RESOLVER} SELECT DISTINCT alias, kind, contract_id FROM aliases")
+def alias_deals(t):
+    return S.alias_names(alias_table(t)).select("alias", "kind", "contract_id")
+
+
 @query(
     "q11_name_words",
     r"""SELECT doc_id, md5(array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+|&'),
