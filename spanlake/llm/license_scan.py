@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanlake.session import cut_lineage
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # of lower-cased text
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BLOCK_END = r"\n|(?<=[.!?])\s+"  # a block is a line or a sentence of it
 
 #: Phrases of consecutive words and their labels.
@@ -50,7 +52,7 @@ def template_sets(docs: DataFrame, templates: Iterable[tuple[str, str]], text_co
     spark = docs.sparkSession
     table = spark.createDataFrame([(k, label, text) for k, (label, text) in enumerate(templates)], "template int, label string, text string")
     tokens = table.select("template", "label", F.explode(F.array_distinct(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(WORD), 0))).alias("token"))
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(WORD), 0)).alias("token"))
+    words = docs.select(F.explode(F.split(F.lower(F.col(text_col).cast("string")), BETWEEN)).alias("token"))
     counts = words.join(F.broadcast(tokens.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("seen"))
     each = Window.partitionBy("template")
     return (
@@ -98,7 +100,8 @@ def scan(docs: DataFrame, phrases: Iterable[tuple[str, str]] = PHRASES, template
     sentence) of the text contains to the threshold; `score` is 1 with a phrase, else the largest containment, else 0. A null text is empty; repeated
     rows each keep a row; null ids stay; other columns are not read. Words are counted in every text; word lists
     and blocks are made only of texts that hold the last word of a phrase or a prefix token of a template. Equal
-    blocks are compared once, however many documents share one.
+    blocks are compared once, however many documents share one. The texts are read twice: for the templates' token
+    frequencies, and for everything else.
     """
     phrases, templates = list(phrases), list(templates)
     sets = template_sets(docs, templates, text_col, threshold).collect()  # the templates' own tokens
@@ -109,7 +112,7 @@ def scan(docs: DataFrame, phrases: Iterable[tuple[str, str]] = PHRASES, template
     some = lambda words: F.greatest(*[low.contains(w) for w in words], F.lit(False), F.lit(False))
 
     split = F.filter(F.split(ascii_lower(F.col("text")), BLOCK_END), lambda b: F.greatest(*[b.contains(t) for t in tokens], F.lit(False), F.lit(False)))
-    marked = rows.withColumn("n_words", F.regexp_count("text", F.lit(ANY_CASE_WORD)).cast("long")).withColumn("blocks", F.when(some(tokens), split).otherwise(F.array().cast("array<string>")))
+    marked = rows.withColumn("n_words", F.size(F.array_remove(F.split("text", BETWEEN_ANY_CASE), "")).cast("long")).withColumn("blocks", F.when(some(tokens), split).otherwise(F.array().cast("array<string>")))
     worded = marked.withColumn("words", F.when(some(asked), F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(WORD), 0)).otherwise(F.array().cast("array<string>")))
     placed = worded.select(
         "doc_id", "n_words", "blocks", F.xxhash64("text").alias("text_hash"),
@@ -121,9 +124,10 @@ def scan(docs: DataFrame, phrases: Iterable[tuple[str, str]] = PHRASES, template
         F.array_sort(F.concat(*[F.col(f"p{k}") for k in range(len(phrases))])).alias("places"),
         F.array_sort(F.array_distinct(named)).alias("phrase_labels"),
     )
+    based = cut_lineage(based)
     held = based.where(F.size("blocks") > 0).select("doc_id", "text_hash", F.explode(F.array_distinct("blocks")).alias("block"))
     distinct = held.select("block").distinct().withColumn("tokens", F.array_distinct(F.regexp_extract_all("block", F.lit(WORD), 0)))
-    labelled = held.join(contained(distinct, sets, threshold), "block")
+    labelled = held.join(cut_lineage(contained(distinct, sets, threshold)), "block")  # a block of very many texts is a join Spark can split
     per_doc = labelled.groupBy(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash")).agg(F.array_distinct(F.flatten(F.collect_set("labels"))).alias("found"), F.max("containment").alias("containment"))
     same = F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_hash") == F.col("found_hash"))
     return based.join(per_doc, same, "left").select(
