@@ -371,62 +371,74 @@ def deal_rung_query(rung: str):
 # The hashed embedder in SQL: a word's slot is its sha1 modulo 384, from its remainders by 128 (the low seven bits) and by 3
 # (the sum of the hex digits, as 16 leaves 1); a text without words has all its weight in slot 0.
 EMBEDDED = r"""
-    wd0 AS (SELECT DISTINCT unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS w FROM lines),
+    wd0 AS (SELECT DISTINCT unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS w FROM (SELECT body FROM lines UNION ALL SELECT text FROM own)),
     wd1 AS (SELECT w, ('0x' || right(sha1(w), 2))::INTEGER & 127 AS a, CAST(list_sum([('0x' || d)::INTEGER FOR d IN string_split(sha1(w), '')]) % 3 AS INTEGER) AS b FROM wd0),
     slots AS (SELECT w, a + 128 * ((((b - a) * 2) % 3 + 3) % 3) AS slot FROM wd1),
-    ln2 AS (SELECT passage_id, doc_id, ordinal, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS w FROM lines),
-    vec0 AS (SELECT passage_id, doc_id, ordinal, slot, CAST(count(*) AS DOUBLE) AS x FROM ln2 JOIN slots USING (w) GROUP BY ALL
-             UNION ALL SELECT passage_id, doc_id, ordinal, 0, 1.0 FROM lines WHERE NOT regexp_matches(lower(body), '[a-z0-9]')),
+    ln2 AS (SELECT passage_id, doc_id, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS w FROM lines),
+    vec0 AS (SELECT passage_id, doc_id, slot, CAST(count(*) AS DOUBLE) AS x FROM ln2 JOIN slots USING (w) GROUP BY ALL
+             UNION ALL SELECT passage_id, doc_id, 0, 1.0 FROM lines WHERE NOT regexp_matches(lower(body), '[a-z0-9]')),
     vec AS (SELECT *, x / sqrt(sum(x * x) OVER (PARTITION BY passage_id)) AS v FROM vec0),
-    near0 AS (SELECT q.doc_id AS query_id, p.passage_id, sum(q.v * p.v) AS s FROM vec q JOIN vec p ON p.doc_id = q.doc_id AND p.slot = q.slot
-              WHERE q.ordinal = 0 GROUP BY ALL),
-    asked AS (SELECT doc_id FROM lines WHERE ordinal = 0 AND regexp_matches(body, '[A-Za-z0-9]')),
-    scored AS (SELECT asked.doc_id AS query_id, lines.passage_id, round(coalesce(s, 0.0), 9) AS score FROM asked JOIN lines USING (doc_id)
-               LEFT JOIN near0 ON near0.query_id = asked.doc_id AND near0.passage_id = lines.passage_id),
+    qw2 AS (SELECT query_id, doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM own),
+    qvec0 AS (SELECT query_id, doc_id, slot, CAST(count(*) AS DOUBLE) AS x FROM qw2 JOIN slots USING (w) GROUP BY ALL),
+    qvec AS (SELECT *, x / sqrt(sum(x * x) OVER (PARTITION BY query_id)) AS v FROM qvec0),
+    near0 AS (SELECT query_id, p.passage_id, sum(q.v * p.v) AS s FROM qvec q JOIN vec p ON p.doc_id = q.doc_id AND p.slot = q.slot GROUP BY ALL),
+    asked AS (SELECT query_id, doc_id FROM own WHERE regexp_matches(text, '[A-Za-z0-9]')),
+    scored AS (SELECT asked.query_id, lines.passage_id, round(coalesce(s, 0.0), 9) AS score FROM asked JOIN lines USING (doc_id)
+               LEFT JOIN near0 ON near0.query_id = asked.query_id AND near0.passage_id = lines.passage_id),
     dense_leg AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM scored)
 """
+REWRITTEN = f"""
+    rq AS (SELECT query_id, text, lower(text) AS low FROM ({OWN_QUESTIONS})),
+    rhit AS (SELECT query_id, low, phrase FROM rq, (SELECT DISTINCT phrase FROM lexicon) p
+             WHERE contains(low, phrase) AND regexp_matches(low, '(^|[^a-z0-9])' || phrase || '([^a-z0-9]|$)')),
+    rex AS (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY length(phrase) DESC, phrase, pos, term) AS rn
+            FROM rhit JOIN lexicon USING (phrase) WHERE NOT regexp_matches(low, '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)')),
+    ru AS (SELECT query_id, term, min(rn) AS rn FROM rex GROUP BY ALL),
+    rg AS (SELECT query_id, string_agg(term, ' ' ORDER BY rn) AS extra FROM ru GROUP BY query_id),
+    own AS (SELECT query_id, query_id AS doc_id, text || coalesce(' ' || extra, '') AS text FROM rq LEFT JOIN rg USING (query_id))
+"""
+EXPANDED_TOKENS = TOKENS.replace("FROM lines)", "FROM expanded)")
+EXPANDED = f"""{LINE_DEFS}, {USED}, {PASSAGE_DEFS},
+    dg AS (SELECT passage_id, string_agg(def_text, chr(10) || chr(10) ORDER BY rank) AS d FROM pdefs GROUP BY 1),
+    expanded AS (SELECT passage_id, doc_id, body || coalesce(chr(10) || chr(10) || d, '') AS body FROM lines LEFT JOIN dg USING (passage_id))"""
 LADDER_DEPTH = 20
-R2_SQL = f"WITH {LINES}, {EMBEDDED} SELECT query_id, CAST(rank AS INTEGER) AS rank, passage_id, round(score, 6) AS score FROM dense_leg WHERE rank <= 10"
-R3_SQL = f"""
-    WITH {LINES}, {TOKENS}, {EMBEDDED},
-    lexical_leg AS ({bm25_sql(OWN_QUESTIONS, scoped=True, k=LADDER_DEPTH).replace("round(score, 6) AS score", "score")}),
+
+
+def ladder_sql(rung: str) -> str:
+    """What a rung returns for every document's first line, asked of that document."""
+    own = f"{LEXICON}, {REWRITTEN}" if rung in ("R5", "R6", "R6n") else f"own AS ({OWN_QUESTIONS})"
+    tokens = f"{EXPANDED}, {EXPANDED_TOKENS}" if rung in ("R6", "R6n") else TOKENS
+    start = f"WITH {LINES}, {own}, {EMBEDDED}"
+    if rung == "R2":
+        return f"{start} SELECT query_id, CAST(rank AS INTEGER) AS rank, passage_id, round(score, 6) AS score FROM dense_leg WHERE rank <= 10"
+    lexical = bm25_sql("SELECT query_id, doc_id, text FROM own", scoped=True, k=LADDER_DEPTH).replace("round(score, 6) AS score", "score")
+    fused = f"""{start}, {tokens}, lexical_leg AS ({lexical}),
     legs AS (SELECT query_id, passage_id, rank, score, 'bm25' AS leg FROM lexical_leg
              UNION ALL SELECT query_id, passage_id, rank, score, 'dense' FROM dense_leg WHERE rank <= {LADDER_DEPTH}),
     fused AS (SELECT query_id, passage_id, round(sum(1.0 / (10 + rank)), 12) AS score,
                      CAST(max(rank) FILTER (WHERE leg = 'bm25') AS INTEGER) AS bm25_rank, max(score) FILTER (WHERE leg = 'bm25') AS bm25_score,
                      CAST(max(rank) FILTER (WHERE leg = 'dense') AS INTEGER) AS dense_rank, max(score) FILTER (WHERE leg = 'dense') AS dense_score
               FROM legs GROUP BY query_id, passage_id),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM fused)
-    SELECT query_id, passage_id, round(score, 6) AS score, bm25_rank, bm25_score, dense_rank, dense_score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10
-"""
-R4_SQL = R3_SQL[: R3_SQL.index("    SELECT query_id, passage_id, round(score, 6)")].rstrip() + r""",
-    words AS (SELECT passage_id, list_distinct(regexp_extract_all(lower(body), '[a-z0-9]+')) AS k FROM lines),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM fused)"""
+    if rung in ("R3", "R6n"):
+        return f"{fused} SELECT query_id, passage_id, round(score, 6) AS score, bm25_rank, bm25_score, dense_rank, dense_score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10"
+    return fused + r""",
+    body_words AS (SELECT passage_id, list_distinct(regexp_extract_all(lower(body), '[a-z0-9]+')) AS k FROM lines),
     asked_words AS (SELECT doc_id AS query_id, list_distinct(regexp_extract_all(lower(body), '[a-z0-9]+')) AS k FROM lines WHERE ordinal = 0),
-    pairs AS (SELECT ranked.*, rank <= 10 AS head, CASE WHEN rank <= 10 THEN CAST(len(list_intersect(asked_words.k, words.k)) AS DOUBLE) ELSE score END AS s
-              FROM ranked JOIN asked_words USING (query_id) JOIN words USING (passage_id) WHERE rank <= 40),
+    pairs AS (SELECT ranked.*, rank <= 10 AS head, CASE WHEN rank <= 10 THEN CAST(len(list_intersect(asked_words.k, body_words.k)) AS DOUBLE) ELSE score END AS s
+              FROM ranked JOIN asked_words USING (query_id) JOIN body_words USING (passage_id) WHERE rank <= 40),
     placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY head DESC, CASE WHEN head THEN s END DESC, CASE WHEN head THEN passage_id ELSE rank END) AS place FROM pairs)
-    SELECT query_id, passage_id, CAST(place AS INTEGER) AS rank, round(s, 6) AS score, bm25_rank, bm25_score, dense_rank, dense_score FROM placed WHERE place <= 10
-"""
-query("q13_rung_r4", R4_SQL)(rung_query("R4"))
-query("q13_rung_r2", R2_SQL)(rung_query("R2"))
-query("q13_rung_r3", R3_SQL)(rung_query("R3"))
+    SELECT query_id, passage_id, CAST(place AS INTEGER) AS rank, round(s, 6) AS score, bm25_rank, bm25_score, dense_rank, dense_score FROM placed WHERE place <= 10"""
 
-for _rung in ("R5", "R6", "R6n"):
-    query(f"q13_rung_{_rung.lower()}")(rung_query(_rung))
+
+for _rung in ("R2", "R3", "R4", "R5", "R6", "R6n"):
+    query(f"q13_rung_{_rung.lower()}", ladder_sql(_rung))(rung_query(_rung))
 for _rung in ("R7", "R7n"):
     query(f"q13_rung_{_rung.lower()}")(deal_rung_query(_rung))
 query("q13_rung_r1", f"WITH {LINES}, {TOKENS} {bm25_sql(OWN_QUESTIONS, scoped=True)}")(rung_query("R1"))
 
-EXPANDED_TOKENS = TOKENS.replace("FROM lines)", "FROM expanded)")
-
 
-@query(
-    "q13_expanded_bm25",
-    f"""WITH {LINES}, {LINE_DEFS}, {USED}, {PASSAGE_DEFS},
-    dg AS (SELECT passage_id, string_agg(def_text, chr(10) || chr(10) ORDER BY rank) AS d FROM pdefs GROUP BY 1),
-    expanded AS (SELECT passage_id, doc_id, body || coalesce(chr(10) || chr(10) || d, '') AS body FROM lines LEFT JOIN dg USING (passage_id)),
-    {EXPANDED_TOKENS} {bm25_sql(QUESTIONS)}""",
-)
+@query("q13_expanded_bm25", f"WITH {LINES}, {EXPANDED}, {EXPANDED_TOKENS} {bm25_sql(QUESTIONS)}")
 def expanded_bm25(t):
     """BM25 over passages joined with their definitions."""
     p = line_passages(t)
