@@ -191,7 +191,7 @@ def _slots(patterns: list[Pattern]) -> tuple[list[tuple], dict[int, int], int]:
     return out, taken, sequence
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 1024, id_col: str = "doc_id", text_col: str = "text", rows_per_rank_bucket: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 1024, id_col: str = "doc_id", text_col: str = "text", rows_per_rank_bucket: int = 5_000) -> DataFrame:
     """Every id of every document in exactly one piece of one sequence of at most `size` ids.
 
     `(doc_id, start, length, ids, doc_tokens, sequence_id, offset)`, `ids` as little-endian unsigned 32-bit. A document's
