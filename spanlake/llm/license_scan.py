@@ -13,7 +13,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # of lower-cased text
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BETWEEN_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BLOCK_END = r"\n|(?<=[.!?])\s+"  # a block is a line or a sentence of it
+BLOCK_END = r"\n\s*\n|(?<=[.!?])\s+"  # a block is a sentence of a paragraph, over its line ends; it holds all that a line of it holds
 
 #: Phrases of consecutive words and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -96,8 +96,8 @@ def contained(blocks: DataFrame, sets: list, threshold: float) -> DataFrame:
 def scan(docs: DataFrame, phrases: Iterable[tuple[str, str]] = PHRASES, templates: Iterable[tuple[str, str]] = TEMPLATES, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`(doc_id, n_words, places, phrase_labels, labels, score)` per row, in DataFrame functions only.
 
-    `places` are the ascending word positions of all phrases, `labels` those of the phrases and of every template that a block (a line or
-    sentence) of the text contains to the threshold; `score` is 1 with a phrase, else the largest containment, else 0. A null text is empty; repeated
+    `places` are the ascending word positions of all phrases, `labels` those of the phrases and of every template that a block (a sentence, over
+    line ends, or a paragraph without) of the text contains to the threshold; `score` is 1 with a phrase, else the largest containment, else 0. A null text is empty; repeated
     rows each keep a row; null ids stay; other columns are not read. Words are counted in every text; word lists
     and blocks are made only of texts that hold the last word of a phrase or a prefix token of a template. Equal
     blocks are compared once, however many documents share one. The texts are read twice: for the templates' token
