@@ -22,16 +22,26 @@ class Pattern:
     verdict: str
 
 
-#: Kinds of hosts that crawl filters commonly refuse. Each names the tokens its matches must hold.
+def _named(word: str) -> str:
+    """A host that holds the word between dots or hyphens."""
+    return rf"://([^/?#]*[.@-])?{word}([.:/?#-]|$)"
+
+
+#: Kinds of hosts that crawl filters commonly refuse, by one word for each pattern, so that each is indexed.
+KINDS = (
+    ("adult", ("adult", "xxx", "porn", "porno")),
+    ("gambling", ("casino", "casinos", "bets", "betting", "gambling", "poker")),
+    ("pills", ("pills", "viagra", "cialis")),
+    ("trackers", ("ads", "adserver", "track", "tracker", "trackers", "tracking")),
+)
 PATTERNS = (
-    Pattern("spam farm", r"://([^/?#]*\.)?spam-farm\.", ("spam", "farm"), "block"),
-    Pattern("pills", r"://([^/?#]*\.)?cheap-pills\.", ("cheap", "pills"), "block"),
-    Pattern("casino", r"://([^/?#]*\.)?casino-win\.", ("casino", "win"), "block"),
-    Pattern("bets", r"://([^/?#]*\.)?free-bets\.", ("free", "bets"), "block"),
-    Pattern("trackers", r"://([^/?#]*\.)?ads-track\.", ("ads", "track"), "block"),
-    Pattern("adult", r"://([^/?#]*\.)?(xxx|porn)[.-]", (), "block"),
-    Pattern("session id", r"[?&](phpsessid|jsessionid)=", (), "block"),
-    Pattern("login", r"/(wp-login|wp-admin)[./?#]", (), "block"),
+    *(Pattern(f"{kind}: {word}", _named(word), (word,), "block") for kind, words in KINDS for word in words),
+    # A host of that name alone is none of the kind, a compound with it is.
+    Pattern("spam", r"://([^/?#]*[.@-])?spam-|://[^/?#]*-spam([.:/?#-]|$)", ("spam",), "block"),
+    Pattern("session id: phpsessid", r"[?&]phpsessid=", ("phpsessid",), "block"),
+    Pattern("session id: jsessionid", r"[?&]jsessionid=", ("jsessionid",), "block"),
+    Pattern("login: admin", r"/wp-admin[./?#]", ("admin",), "block"),
+    Pattern("login: login", r"/wp-login[./?#]", ("login",), "block"),
 )
 
 
