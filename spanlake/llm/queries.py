@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm import embedding_dedup, hash_forest, html_extract, language_id, packing, simhash, token_planes
+from spanlake.llm import embedding_dedup, hash_forest, html_extract, language_id, packing, secret_scan, simhash, token_planes
 from spanlake.llm.registry import register
 from spanlake.session import shared_folder
 
+
 @register("op1_language_id", "documents")
 def op1(documents: DataFrame) -> DataFrame:
     """Language of every document, learned from two of three parts of the labelled ones."""
@@ -61,3 +62,12 @@ def op3(embeddings: DataFrame) -> DataFrame:
 def op2(embeddings: DataFrame) -> DataFrame:
     """The 20 nearest vectors of every twentieth one, among all others."""
     return hash_forest.search(embeddings, embeddings.where("vec_id % 20 = 0"), k=20)
+
+
+@register("op13_secret_scan", "documents")
+def op13(documents: DataFrame) -> DataFrame:
+    """Secrets of every document: how many of each base kind, and where all of them stand."""
+    written = F.transform("spans", lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"]))
+    base = F.filter(written, lambda x: ~x.startswith(f"{secret_scan.NOVEL}:"))
+    counts = [F.expr(f"CAST(size(filter(spans, x -> x.kind = '{kind}')) AS BIGINT)").alias(f"n_{kind}") for kind in secret_scan.KINDS]
+    return secret_scan.scan(documents).select("doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(written, ",").alias("spans"))

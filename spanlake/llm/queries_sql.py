@@ -1,11 +1,11 @@
-"""Queries whose results SQL can express: licences, mixing and URLs, each with its SQL."""
+"""Queries whose results SQL can express: licences, mixing, URLs, filter interactions and fill-in-the-middle, each with its SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm import license_scan, mixing, url_filter
+from spanlake.llm import fill_in_middle, filter_audit, license_scan, mixing, url_filter
 from spanlake.llm.registry import register
 
 _TEMPLATES = ", ".join(f"({k}, '{label}', '{text}')" for k, (label, text) in enumerate(license_scan.TEMPLATES))
@@ -109,3 +109,75 @@ _RULES = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict
 def op10(pages: DataFrame) -> DataFrame:
     """Verdict of every page's URL."""
     return url_filter.judge(pages, RULES)
+
+
+@register(
+    "op11_filter_audit",
+    "documents labels",
+    r"""
+    WITH docs AS (
+        SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+    failing AS (
+        SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+            CASE WHEN len(w) < 50 THEN 'A' ELSE '' END
+            || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+            || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END
+            || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+            || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS failed
+        FROM docs LEFT JOIN marks USING (doc_id)),
+    sets AS (SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM failing GROUP BY part, failed),
+    letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    orders AS (
+        SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+        WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    steps AS (
+        SELECT filter_order, step::INTEGER AS step, filter_order[step] AS f, '[' || filter_order[1:step] || ']' AS upto, CASE WHEN step > 1 THEN '[' || filter_order[1:step - 1] || ']' ELSE '[-]' END AS before
+        FROM orders, unnest(range(1, 6)) AS u(step)),
+    counted AS (
+        SELECT part, filter_order, step, f,
+            sum(n) FILTER (NOT regexp_matches(failed, upto)) AS kept,
+            sum(n) FILTER (contains(failed, f) AND NOT regexp_matches(failed, before)) AS removed,
+            sum(n) FILTER (contains(failed, f) AND regexp_matches(failed, before)) AS redundant,
+            sum(n) FILTER (failed = f) AS unique_fails,
+            sum(good) FILTER (contains(failed, f) AND NOT regexp_matches(failed, before)) AS good_lost,
+            sum(toxic) FILTER (contains(failed, f) AND NOT regexp_matches(failed, before)) AS toxic_lost
+        FROM sets, steps GROUP BY ALL)
+    SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+        coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+        coalesce(sum(removed) OVER (PARTITION BY part, f), 0)::BIGINT AS shapley
+    FROM counted
+    """,
+)
+def op11(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """What five filters remove from each source, in every order of them."""
+    return filter_audit.audit(documents, labels)
+
+
+@register(
+    "op12_fill_in_middle",
+    "documents",
+    r"""
+    WITH docs AS (
+        SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+            sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h
+        FROM documents),
+    drawn AS (
+        SELECT *, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS c1, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS c2,
+            CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR ('0x' || h[17:24])::BIGINT % 100 >= 50 THEN 'plain'
+                WHEN ('0x' || h[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+        FROM docs),
+    parts AS (
+        SELECT *, array_to_string(u[1:least(c1, c2)], '') AS p, array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') AS m, array_to_string(u[greatest(c1, c2) + 1:], '') AS s
+        FROM drawn)
+    SELECT doc_id, len(u) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+        sha256(t) AS restored_sha256
+    FROM parts
+    """,
+)
+def op12(documents: DataFrame) -> DataFrame:
+    """Every document in its fill-in-the-middle form, and the text rebuilt from that form."""
+    made = fill_in_middle.transform(documents)
+    rebuilt = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(rebuilt, 256).alias("restored_sha256"))

@@ -13,11 +13,11 @@ ORACLES: dict[str, str] = {}
 
 
 def register(name: str, reads: str, sql: str | None = None):
-    """Register `fn(table) -> DataFrame` over the whole of one given table."""
+    """Register `fn(*tables) -> DataFrame` over the whole of the given tables that `reads` names."""
 
-    def wrap(fn: Callable[[DataFrame], DataFrame]):
+    def wrap(fn: Callable[..., DataFrame]):
         def run(spark: SparkSession, root: str) -> DataFrame:
-            return fn(table(ship_package(spark), root, reads))
+            return fn(*[table(ship_package(spark), root, name) for name in reads.split()])
 
         run.__name__, run.__doc__ = name, fn.__doc__
         QUERIES[name] = run
