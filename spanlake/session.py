@@ -15,8 +15,15 @@ TABLES = (
 ).split()
 
 
+#: Arrow batches end at so many bytes, unless the session says otherwise: 10,000 long texts in one batch, kept beside the heap and again in
+#: Python, are what makes executors grow.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship_package(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors once per application, so Arrow functions can import it there."""
+    """Send this package to the executors once per application, so Arrow functions can import it there, and bound Arrow batches by bytes."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, "4m")
     sc = spark.sparkContext
     if getattr(sc, "_spanlake_shipped", False):
         return spark
