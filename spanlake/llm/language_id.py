@@ -70,8 +70,8 @@ def _buckets(parts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bits: int = 16, rows_per_language: int = 20_000, id_col: str = "doc_id") -> Model:
     """Learn from the rows given. Counts come from at most about `rows_per_language` rows of each language.
 
-    The bound is kept without sorting: a language with more rows keeps those whose id hash falls below
-    rows_per_language / rows. Each task adds up a (language, bucket) table, Spark adds the tables, and what reaches the
+    The bound is kept without sorting: a language with more rows keeps those whose hash of id and text falls below
+    rows_per_language / rows, so null and repeated ids are sampled by their texts (equal rows together). Each task adds up a (language, bucket) table, Spark adds the tables, and what reaches the
     driver is one row of that table per language and used bucket: bits and the number of languages bound it, not
     the corpus. Rows with a null language or without a letter teach nothing. Equal rows count as often as they occur.
     """
@@ -82,7 +82,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bits: i
     over = {lang: rows_per_language / n for lang, n in sizes.items() if n > rows_per_language}
     if over:
         share = F.create_map(*[F.lit(x) for pair in sorted(over.items()) for x in pair])
-        unit = F.shiftrightunsigned(F.xxhash64("id"), 33).cast("double") / F.lit(float(1 << 31))
+        unit = F.shiftrightunsigned(F.xxhash64("id", "text"), 33).cast("double") / F.lit(float(1 << 31))
         labelled = labelled.where(unit < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(1.0)))
     size = (1 << bits) + 1
 

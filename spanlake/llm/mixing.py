@@ -17,9 +17,23 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def hash60(doc_id: Column) -> Column:
-    """The first 60 bits of the id's md5: the same on every run and every engine."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, LEVELS * BITS // 4), 16, 10).cast("long")
+def hash60(doc_id: Column, text: Column) -> Column:
+    """The first 60 bits of an md5 of id and text: the same on every run and every engine."""
+    both = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+    return F.conv(F.substring(F.md5(both), 1, LEVELS * BITS // 4), 16, 10).cast("long")
+
+
+def numbered(rows: DataFrame, *key: str) -> DataFrame:
+    """`rows(at, ...)` with `number`: 0, 1, 2 among the rows of a key, in the order of the row number `at`.
+
+    Rows are numbered inside blocks of 4,096 row numbers and blocks are summed in order, so a key that all rows share is many small groups.
+    """
+    blocked = rows.withColumn("block", F.shiftright("at", 12))
+    counts = blocked.groupBy(*key, "block").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(*key, "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy(*key, "block").orderBy("at")
+    return blocked.withColumn("k", F.row_number().over(within) - 1).join(bases, [*key, "block"]).withColumn("number", F.col("base") + F.col("k")).drop("block", "k", "base")
 
 
 def targets(sizes: DataFrame, most: float = 3.0) -> DataFrame:
@@ -43,36 +57,47 @@ def targets(sizes: DataFrame, most: float = 3.0) -> DataFrame:
     return water.select("key", "source", "source_size", F.when(F.col("water").isNull(), capped).otherwise(F.least(F.col("water") * F.col("weight"), capped)).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: float = 3.0) -> DataFrame:
-    """`(doc_id, size, source_size, target, times)` per row: how often the mix takes each document.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: float = 3.0, keep: list[str] | None = None) -> DataFrame:
+    """`(doc, size, source_size, target, times)` per row: how often the mix takes each document; `doc` is the row as it came, or its
+    columns `keep`.
 
     A source whose target is k sizes and a rest takes every document k times, and once more those whose hash lies under the
     source's threshold. Sizes are summed by source and hash bucket; the bucket where the sum passes the rest is summed
     again by the next 12 bits, and so on for 60 bits, so a threshold is found without sorting documents and only one
-    bucket of each source is ever looked at again. The document on the boundary is taken if that comes nearer to the
-    rest, so what is taken misses it by at most half a document (documents with equal ids hash alike and go together).
+    bucket of each source is ever looked at again. At the end the bucket is one hash: the document on the boundary is taken if that comes nearer to the
+    rest, and of equal rows there (same id, same text) as many as come nearest, so what is taken misses the rest by at most half a document.
 
-    A null source is a source of its own; a null or blank text has size 0 and counts for nothing; a null id hashes like an empty one; repeated rows are
-    taken alike. An empty table, or one without words, takes nothing. A hot source is many (source, bucket) sums.
+    Hashes are of id and text, so null and repeated ids with differing texts are drawn apart. A null source is a source of its own; a null or blank
+    text has size 0 and counts for nothing. All columns travel in one struct, so none can clash. Reruns take the same rows. An empty table, or one without
+    words, takes nothing. A hot source is many (source, bucket) sums. What is joined back by source is one written row for each; sources are
+    ordered in one task for their weights, one row each.
     """
-    key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
+    d = F.col("doc")
+    key = F.coalesce(F.concat(F.lit("="), d.getField(source_col).cast("string")), F.lit(""))
+    held = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("at"))
     rows = cut_lineage(
-        docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), hash60(F.col(id_col)).alias("h"))
+        held.select((F.struct(*[d.getField(c).alias(c) for c in keep]) if keep else d).alias("doc"), "at", key.alias("key"), d.getField(source_col).cast("string").alias("source"), n_words(d.getField(text_col)).alias("size"), hash60(d.getField(id_col), d.getField(text_col)).alias("h"))
     )
     sizes = rows.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     goals = targets(sizes, most).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
     goals = cut_lineage(goals.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")))
     state = goals.select("key", "rest", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("under"))
+    hashes = rows.select("key", "size", "h")
     for level in range(1, LEVELS + 1):
         shift = BITS * (LEVELS - level)
-        inside = rows.join(state, "key").where(F.shiftright("h", shift + BITS) == F.col("prefix")) if level > 1 else rows.join(state, "key")
+        inside = hashes.join(state, "key").where(F.shiftright("h", shift + BITS) == F.col("prefix")) if level > 1 else hashes.join(state, "key")
         buckets = inside.groupBy("key", "rest", "under", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("n"))
         upto = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         summed = buckets.withColumn("upto", F.col("under") + F.sum("n").over(upto))
-        passing = summed.where(F.col("upto") > F.col("rest")).groupBy("key").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("under"), "upto")).alias("b"))
-        state = cut_lineage(state.select("key", "rest").join(passing, "key").select("key", "rest", F.col("b.bucket").alias("prefix"), "b.under", "b.upto"))
-    nearer = F.col("upto") - F.col("rest") < F.col("rest") - F.col("under")
-    limits = goals.join(state.select("key", (F.col("prefix") + nearer.cast("long")).alias("threshold")), "key", "left")
-    more = F.coalesce(F.col("h") < F.col("threshold"), F.lit(False))
-    times = F.when(F.col("size") > 0, F.col("epochs") + more.cast("long")).otherwise(F.lit(0)).cast("long")
-    return rows.join(limits, "key").select("doc_id", "size", "source_size", "target", times.alias("times"))
+        passing = summed.where(F.col("upto") > F.col("rest")).groupBy("key").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("under"))).alias("b"))
+        state = cut_lineage(state.select("key", "rest").join(passing, "key").select("key", "rest", F.col("b.bucket").alias("prefix"), "b.under"))
+    limits = cut_lineage(goals.join(state.select("key", F.col("prefix").alias("threshold"), "under"), "key", "left"))
+    placed = rows.join(limits.drop("source"), "key")
+    on_boundary = F.coalesce((F.col("h") == F.col("threshold")) & (F.col("size") > 0), F.lit(False))
+    below = F.when(F.col("size") > 0, F.col("epochs") + F.coalesce(F.col("h") < F.col("threshold"), F.lit(False)).cast("long")).otherwise(F.lit(0)).cast("long")
+    edge = numbered(placed.where(on_boundary), "key")
+    nearest = F.floor((F.col("rest") - F.col("under")) / F.col("size") + 0.5)
+    columns = ["doc", "size", "source_size", "target"]
+    return placed.where(~on_boundary).select(*columns, below.alias("times")).unionByName(
+        edge.select(*columns, (F.col("epochs") + (F.col("number") < nearest).cast("long")).cast("long").alias("times"))
+    )

@@ -98,18 +98,26 @@ def _start(need: dict[int, int], size: int) -> tuple[list[dict[int, int]], list[
     return patterns, shares
 
 
-def solve(demand: dict[int, int], size: int, rounds: int = 150, gap: float = 1e-3) -> list[Pattern]:
+@dataclass(frozen=True)
+class Plan:
+    """Patterns, and how many columns the knapsack priced in."""
+
+    patterns: list[Pattern]
+    rounds: int
+
+
+def solve(demand: dict[int, int], size: int, gap: float = 1e-6, window: int = 100) -> Plan:
     """Patterns without padding that together need no more pieces of any length than `demand` has.
 
-    The linear program by column generation: the revised simplex starts from `_start`; each round the knapsack prices
-    one column in and the ratio test one out. It ends when no column pays, when the padding left is under `gap` of
-    all ids, or after `rounds`. The solution is rounded down, and patterns that would be padded are left out: what they
-    and the rounding leave is cut freely by `pack`, so stopping early costs no padding. All of it works on the
-    histogram, at most `size` - 1 numbers.
+    The linear program by column generation: the revised simplex starts from `_start` as its first basis; each round the knapsack prices
+    one column in and the ratio test one out. It ends when no column pays (the dual bound), when the padding left is under `gap` of all ids, which is the
+    bound that no solution passes, or when `window` rounds removed less than a tenth of the padding left. The
+    solution is rounded down, patterns that would be padded are left out, and the pieces that this leaves are filled into further whole patterns by
+    `_fills`. All of it works on the histogram, at most `size` - 1 numbers, so its time does not grow with the documents.
     """
     lengths = np.array(sorted(n for n in demand if demand[n] > 0), dtype=np.int64)
     if not len(lengths):
-        return []
+        return Plan([], 0)
     at = {int(n): k for k, n in enumerate(lengths)}
     need = np.array([demand[int(n)] for n in lengths], dtype=float)
     patterns, shares = _start({int(n): demand[int(n)] for n in lengths}, size)
@@ -120,27 +128,36 @@ def solve(demand: dict[int, int], size: int, rounds: int = 150, gap: float = 1e-
     x = np.array(shares)
     cost = np.array([padded(int(c @ lengths), size) for c in columns.T], dtype=float)
     least = float(need @ lengths)
-    inverse = np.linalg.inv(columns) if cost @ x > least * (1 + gap) else None
-    for k in range(rounds):
-        if cost @ x <= least * (1 + gap):
-            break
+    inverse = np.linalg.inv(columns)
+    good = columns.copy(), x.copy()
+    rounds, checked = 0, cost @ x - least
+    while cost @ x > least * (1 + gap):
         gain, column = _price(cost @ inverse, lengths, size)
         step = inverse @ column
-        if gain <= 1e-7 or not (step > 1e-10).any():
+        if gain <= 1e-7 or not (step > 1e-7).any():
             break
         ratio = np.full(len(x), np.inf)
-        np.divide(x, step, out=ratio, where=step > 1e-10)
+        np.divide(x, step, out=ratio, where=step > 1e-7)
         out = int(ratio.argmin())
         columns[:, out], cost[out] = column, padded(int(column @ lengths), size)
-        if k % 100 == 99:  # anew, against rounding errors
-            inverse = np.linalg.inv(columns)
+        pivot = inverse[out] / step[out]
+        inverse -= np.outer(step, pivot)
+        inverse[out] = pivot
+        x = np.maximum(x - ratio[out] * step, 0)
+        x[out] = ratio[out]
+        rounds += 1
+        if rounds % window == 0:  # anew, against rounding errors
+            try:
+                inverse = np.linalg.inv(columns)
+            except np.linalg.LinAlgError:
+                columns, x = good
+                break
             x = np.maximum(inverse @ need, 0)
-        else:
-            pivot = inverse[out] / step[out]
-            inverse -= np.outer(step, pivot)
-            inverse[out] = pivot
-            x = np.maximum(x - ratio[out] * step, 0)
-            x[out] = ratio[out]
+            good = columns.copy(), x.copy()
+            now = cost @ x - least
+            if now > 0.9 * checked:
+                break
+            checked = now
     left = need.astype(np.int64)
     found = []
     for column, share in zip(columns.T.astype(np.int64), x, strict=True):
@@ -149,6 +166,35 @@ def solve(demand: dict[int, int], size: int, rounds: int = 150, gap: float = 1e-
         if copies > 0 and padded(total, size) == total:
             left -= copies * column
             found.append(Pattern(tuple(lengths[used].tolist()), tuple(column[used].tolist()), copies))
+    return Plan(found + _fills({int(n): int(k) for n, k in zip(lengths, left, strict=True) if k}, size), rounds)
+
+
+def _fills(left: dict[int, int], size: int) -> list[Pattern]:
+    """Whole patterns of the pieces left, one at a time: the longest piece and those that fill its sequence exactly, found by a bounded knapsack over
+    sums (bit s of `sums[k]`: the first k pieces on offer can make s). A piece that no others complete is passed over."""
+    left, found, whole = dict(left), [], (1 << (size + 1)) - 1
+    for n in sorted(left, reverse=True):
+        while left.get(n):
+            left[n] -= 1
+            room, offer, sums = size - n, [], [1]
+            for m in sorted((m for m, k in left.items() if k and m <= size - n), reverse=True):
+                for _ in range(min(left[m], room // m)):
+                    offer.append(m)
+                    sums.append((sums[-1] | sums[-1] << m) & whole)
+                    if sums[-1] >> room & 1:
+                        break
+                if sums[-1] >> room & 1:
+                    break
+            if not sums[-1] >> room & 1:
+                left[n] = 0
+                continue
+            taken = {n: 1}
+            for k in range(len(offer) - 1, -1, -1):
+                if not sums[k] >> room & 1:
+                    room -= offer[k]
+                    taken[offer[k]] = taken.get(offer[k], 0) + 1
+                    left[offer[k]] -= 1
+            found.append(Pattern(tuple(taken), tuple(taken.values()), 1))
     return found
 
 
@@ -196,8 +242,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 1024, id_col:
 
     `(doc_id, start, length, ids, doc_tokens, sequence_id, offset)`, `ids` as little-endian unsigned 32-bit. A document's
     full pieces are sequences of their own. The rests are packed by `solve` from their length histogram: the k-th rest of
-    a length takes the k-th slot of that length. Rests without a slot (what rounding leaves, fewer than a few for each
-    pattern) stand one after another and are cut where a sequence is full, so only the last sequence is padded.
+    a length takes the k-th slot of that length. Rests without a slot (what no pattern without padding takes) stand one after another and are cut where a sequence is full, so only the last sequence is padded.
 
     Only rests are ranked and moved. Ranks are counted in hash buckets whose number follows the number of pieces, so that a length which a third of
     all documents share is many small groups. Only the histogram (under `size` rows) reaches the driver and only the slot
@@ -208,7 +253,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 1024, id_col:
     pieces = cut_lineage(cut(docs, tokenizer, end_id, size, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()))
     rests = pieces.where(F.col("length") < size)
     histogram = {r["length"]: r["n"] for r in rests.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    slots, taken, sequences = _slots(solve(histogram, size))
+    slots, taken, sequences = _slots(solve(histogram, size).patterns)
     stream, streams = sequences * size, []
     for n in sorted(histogram):
         streams.append((n, taken.get(n, 0), stream))

@@ -16,10 +16,9 @@ from spanlake.session import shared_folder
 @register("op1_language_id", "documents")
 def op1(documents: DataFrame) -> DataFrame:
     """Language of every document, learned from two of three parts of the labelled ones."""
-    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
-    model = language_id.fit(documents.where(~F.coalesce(held, F.lit(False))))
-    found = language_id.predict(documents, model)
-    return found.select(F.col("id").alias("doc_id"), (F.crc32(F.col("id").cast("string")) % 3 == 1).alias("held_out"), "lang_pred", "score")
+    held = lambda c: F.coalesce(F.crc32(F.col(c).cast("string")) % 3 == 1, F.lit(False))
+    found = language_id.predict(documents, language_id.fit(documents.where(~held("doc_id"))))
+    return found.select(F.col("id").alias("doc_id"), held("id").alias("held_out"), "lang_pred", "score")
 
 
 @register("op8_simhash", "documents")

@@ -51,7 +51,7 @@ def op4(documents: DataFrame) -> DataFrame:
     r"""
     WITH docs AS (
         SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-            ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+            ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h
         FROM documents),
     sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
     weighed AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM sizes),
@@ -67,15 +67,15 @@ def op4(documents: DataFrame) -> DataFrame:
         SELECT docs.*, source_size, target, epochs, target - epochs * source_size AS rest,
             sum(size) OVER (PARTITION BY docs.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
         FROM docs JOIN rests ON docs.source IS NOT DISTINCT FROM rests.source),
-    cuts AS (SELECT *, upto - sum(size) OVER (PARTITION BY source, h) AS under FROM summed)
+    cuts AS (SELECT *, upto - sum(size) OVER (PARTITION BY source, h) AS under, row_number() OVER (PARTITION BY source, h) AS number FROM summed)
     SELECT doc_id, size, source_size, target,
-        (size * (epochs + CASE WHEN size > 0 AND (upto <= rest OR (under <= rest AND upto - rest < rest - under)) THEN 1 ELSE 0 END))::BIGINT AS taken
+        (size * (epochs + CASE WHEN size > 0 AND (upto <= rest OR (under <= rest AND number <= floor((rest - under) / size + 0.5))) THEN 1 ELSE 0 END))::BIGINT AS taken
     FROM cuts
     """,
 )
 def op6(documents: DataFrame) -> DataFrame:
     """How many words of every document the mix takes."""
-    return mixing.mix(documents).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+    return mixing.mix(documents, keep=["doc_id"]).select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 RULES = (

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanlake.session import cut_lineage
+
 KINDS = ("assign", "access", "hex")
 NOVEL = "novel"
 
@@ -78,12 +80,18 @@ class Novelty:
 def identifiers(docs: DataFrame, most: int = 4096, text_col: str = "text") -> bytes:
     """The `most` most frequent identifiers (4 to 32 letters and underscores, seen twice or more) of all texts, ties by name, the most frequent last.
 
-    Counted over every text, added up in each task before the shuffle; only the dictionary itself, at most 33 bytes for each of `most`, reaches the
-    driver. A run with a digit or with one of `+/=-` is no identifier and none of its parts is, so a key that thousands of copies share is not learned.
+    Counted over every text, added up in each task before the shuffle. A histogram of the counts (a sixteenth of an octave each, at most a thousand
+    rows) tells which of them can be among the first, and only those are ordered, so what reaches the driver does not grow with the tasks. A run with a digit or with one of `+/=-` is no identifier and none of its parts is, so a key that thousands of copies share is not learned.
     """
     runs = docs.select(F.explode(F.split(F.col(text_col).cast("string"), "[^A-Za-z0-9_+/=-]+")).alias("name"))
     names = runs.where(F.length("name").between(4, 32) & F.col("name").rlike("^[A-Za-z_]+$"))
-    top = names.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "name").limit(most).collect()
+    counted = cut_lineage(names.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").withColumn("level", F.floor(F.log2("n") * 16)))
+    least, found = 0, 0
+    for row in sorted(counted.groupBy("level").agg(F.count("*").alias("names")).collect(), reverse=True):
+        least, found = row["level"], found + row["names"]
+        if found >= most:
+            break
+    top = counted.where(F.col("level") >= least).orderBy(F.desc("n"), "name").limit(most).collect()
     return b"\n".join(r["name"].encode() for r in reversed(top))
 
 

@@ -131,19 +131,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     members = named.join(least, "root").select("fp", "component_id")
     return prints.join(members, "fp").select("id", "fp", "component_id")
-
-
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """`docs` with a number `_row` for each row and a `_key` that orders rows by id (nulls last), text hash and number; written once, so
-    the numbers stay."""
-    rows = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
-    return rows.withColumn("_key", F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), "_row"))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 2) -> DataFrame:
-    """One row of `docs` for each component of near fingerprints: the first by id (nulls last), then text hash. Null and repeated
-    ids of different components all stay."""
-    rows = keyed(docs, id_col, text_col)
-    found = near_duplicates(rows, "_key", text_col, width, max_bits)
-    kept = found.where(F.col("id._row") == F.col("component_id._row")).select(F.col("id._row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)

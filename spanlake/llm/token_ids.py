@@ -11,6 +11,7 @@ WHITE = r" \t\n\r\f\v"
 #: What keeps a text from being cut before each space and line end: a run of them, other white space, the mark used for cutting.
 RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\f", "\v", "\0")
 OTHER_WHITE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+LONGEST = 64  # of the pieces that are kept
 LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"  # letters, each one code point in normal form
 
 
@@ -26,17 +27,19 @@ class Encoder:
 
     Both supported families split at white space before any merge, so a text is cut at ASCII white space and each
     piece's ids are kept: words repeat far more than texts. Pieces of printable ASCII and Latin letters go to the
-    model's merges directly, all others through the whole tokenizer. Pieces live in two generations of `most` each; the
-    older one is dropped when the newer is full, which bounds a worker's memory and changes no result. Texts whose
-    white space cannot be cut so, and those of tokenizers of another family, are encoded in one piece.
+    model's merges directly, all others through the whole tokenizer. Pieces of up to `LONGEST` bytes live in two generations of `most` each; the
+    older one is dropped when the newer is full, which bounds a worker's memory in bytes and changes no result. Texts whose
+    white space cannot be cut so, those that may hold a mark that the tokenizer adds (`<|endoftext|>`), and those of tokenizers of another
+    family, are encoded in one piece.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.marks = {token.content.lower().encode() for token in self.tokenizer.get_added_tokens_decoder().values()}
+        self.sign = re.match(rb"[^a-z]*", os.path.commonprefix(sorted(self.marks)))[0]  # what all marks start with
         self.model = self.tokenizer.model
         steps = repr(self.tokenizer.normalizer), repr(self.tokenizer.pre_tokenizer)
         self.simple = re.compile(f"[\n ]?[!-~{LATIN}]+")
@@ -57,7 +60,9 @@ class Encoder:
 
         class Generation(dict):
             def __missing__(self, piece):
-                ids = self[piece] = encoder.old.get(piece) or encoder._piece(piece)
+                ids = encoder.old.get(piece) or encoder._piece(piece)
+                if len(piece) <= LONGEST:
+                    self[piece] = ids
                 return ids
 
         return Generation()
@@ -87,9 +92,11 @@ class Encoder:
             mapped = self.letters[32] + part[1:]
         else:
             mapped = part if part.isprintable() else part.translate(self.letters)
+        ids = _packed([token.id for token in self.model.tokenize(mapped)])
         if len(self.small) > self.most:
             self.small.clear()
-        ids = self.small[part] = _packed([token.id for token in self.model.tokenize(mapped)])
+        if len(part) <= LONGEST:
+            self.small[part] = ids
         return ids
 
     def _lower_piece(self, raw: bytes) -> bytes:
@@ -107,13 +114,22 @@ class Encoder:
     def _encode_whole(self, text: bytes | None) -> bytes:
         return self._whole(text.decode()) if text else b""
 
+    def _may_hold_mark(self, text: bytes) -> bool:
+        """Whether a mark stands in the text, letters in either case: more than the tokenizer takes for one, never less."""
+        return bool(self.marks) and self.sign in text and any(mark in text.lower() for mark in self.marks)
+
     def _encode_words(self, text: bytes | None) -> bytes:
-        return self._joined(text.split()) if text else b""
+        if not text:
+            return b""
+        return self._whole(text.decode()) if self._may_hold_mark(text) else self._joined(text.split())
 
     def _encode_spaced(self, text: bytes | None) -> bytes:
         if not text:
             return b""
+        marked = self._may_hold_mark(text)
         text = text.decode()
+        if marked:
+            return self._whole(text)
         if OTHER_WHITE.search(text):
             return self._whole(text)
         if any(run in text for run in RUNS):
