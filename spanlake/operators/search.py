@@ -1,11 +1,11 @@
-"""Lexical retrieval: postings, corpus statistics, batch BM25 top-k."""
+"""Lexical retrieval: tokens, postings, corpus statistics, ranked rows. Batch search over a stored index is in `lexical_index`."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlake.functions.text import index_tokens, query_tokens
+from spanlake.functions.text import index_tokens
 
 # Okapi BM25 (Robertson and Zaragoza 2009); idf of a term in more than half the passages is floored.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -39,40 +39,3 @@ def top_k(scored: DataFrame, by: list[str], k: int, order: list | None = None, r
     """The k best rows per group by score, then passage id. Spark keeps k rows per group and task before shuffling."""
     w = Window.partitionBy(*by).orderBy(*(order or [F.desc("score"), F.asc("passage_id")]))
     return scored.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
-
-
-def bm25(
-    queries: DataFrame,
-    passages: DataFrame,
-    k: int = 10,
-    scope: str | None = None,
-    query_text: str = "text",
-    body: str = "body",
-    stem: DataFrame | None = None,
-) -> DataFrame:
-    """The k best passages for every (query_id, text), any query token matching.
-
-    With `scope`, a query only sees passages with its own value of that column; document frequencies, passage count
-    and mean length stay those of the whole corpus. Passages are hash-partitioned by id once: counting terms and
-    adding up a passage's score both happen inside that partitioning, so one shuffle of the tokens that any query
-    uses is all that moves before the top-k.
-    """
-    scoped = [scope] if scope else []
-    qt = queries.select("query_id", *scoped, F.explode(query_tokens(F.col(query_text))).alias("term"))
-    if stem is not None:
-        qt = qt.join(stem, "term", "left").withColumn("term", F.coalesce("stem", "term")).drop("stem").distinct()
-    wanted = qt.select("term").distinct()
-    tok = _tokenised(passages, ["passage_id", *scoped], body, stem).join(wanted, "term", "left_semi")
-    post = tok.repartition("passage_id").groupBy("passage_id", *scoped, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    size = passages.select(F.size(index_tokens(F.col(body))).cast("long").alias("dl")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")
-    )
-    n, avgdl = size.select("n").scalar(), size.select("avgdl").scalar()
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    qt = qt.join(df.select("term", idf(n, F.col("df")).alias("idf")), "term")
-    tf = F.col("tf")
-    gain = F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl))
-    scored = post.join(qt, ["term", *scoped]).groupBy("passage_id", "query_id").agg(
-        F.round(F.sum(gain), SCORE_DIGITS).alias("score")
-    )
-    return top_k(scored, ["query_id"], k).select("query_id", "rank", "passage_id", "score")

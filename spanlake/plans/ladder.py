@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spanlake.operators.dense import dense_top_k, hashed_embedder
 from spanlake.operators.fusion import reciprocal_rank_fusion, rerank_head, score_pairs, shared_words
 from spanlake.operators.scope import rewrite, scope_questions
-from spanlake.operators.search import bm25
+from spanlake.operators.lexical_index import LexicalIndex, build_index, search_index
 from spanlake.session import cut_lineage
 
 RUNGS = ("R1", "R2", "R3", "R4", "R5", "R6", "R7", "R6n", "R7n")
@@ -26,7 +26,8 @@ class Settings:
 
 @dataclass(frozen=True)
 class Index:
-    """The tables a rung reads. `passages` and `expanded` hold indexed passages only (no table of contents)."""
+    """The tables a rung reads. `passages` and `expanded` hold indexed passages only (no table of contents); `lexical` and `lexical_expanded` are
+    their stored indexes, built for the call where they are missing."""
 
     passages: DataFrame
     expanded: DataFrame
@@ -34,12 +35,19 @@ class Index:
     lexicon: DataFrame | None = None
     aliases: DataFrame | None = None
     common: DataFrame | None = None
+    lexical: LexicalIndex | None = None
+    lexical_expanded: LexicalIndex | None = None
     embedder: object = hashed_embedder
     scorer: object = shared_words
     cache: DataFrame | None = None
     settings: Settings = field(default_factory=Settings)
 
 
+def _lexical(index: Index, queries: DataFrame, k: int, scope: str | None, expanded: bool = False) -> DataFrame:
+    stored = index.lexical_expanded if expanded else index.lexical
+    return search_index(stored or build_index(index.expanded if expanded else index.passages, scope="contract_id"), queries, k, scope)
+
+
 def _dense(index: Index, queries: DataFrame, k: int, scope: str | None) -> DataFrame:
     asked = queries.where(F.col("text").rlike("[A-Za-z0-9]"))
     scoped = [scope] if scope else []
@@ -70,12 +78,12 @@ def run_rung(rung: str, queries: DataFrame, index: Index, k: int = 10, scope: st
     s = index.settings
     asked = cut_lineage(rewrite(queries, index.lexicon)) if step >= 5 else queries
     if step == 1:
-        return bm25(asked, index.passages, k, scope)
+        return _lexical(index, asked, k, scope)
     if step == 2:
         return _dense(index, asked, k, scope)
     depth = max(k, s.depth)
     legs = {
-        "bm25": bm25(asked, index.expanded if step == 6 else index.passages, depth, scope),
+        "bm25": _lexical(index, asked, depth, scope, step == 6),
         "dense": _dense(index, asked, depth, scope),
     }
     if step == 3 or rung == "R6n":

@@ -9,7 +9,8 @@ from spanlake.operators import dense as V
 from spanlake.operators import fusion as U
 from spanlake.operators import scope as S
 from spanlake.operators import terms as D
-from spanlake.operators.search import bm25, postings, term_statistics
+from spanlake.operators.lexical_index import search_index, stored_index
+from spanlake.operators.search import postings, term_statistics
 from spanlake.session import cut_lineage
 from spanlake.plans.ladder import Index, Settings, run_rung
 from spanlake.plans.registry import query
@@ -58,6 +59,17 @@ def own_questions(t):
     )
 
 
+def line_index(t):
+    """The stored index of all document lines; a document is a scope."""
+    return stored_index(lines(t), t.documents, "lines", scope="doc_id")
+
+
+def expanded_index(t):
+    """The stored index of all document lines joined with their definitions."""
+    p = line_passages(t)
+    return stored_index(D.expand_passages(p, D.passage_definitions(p, line_definitions(t))), t.documents, "expanded-lines", scope="doc_id")
+
+
 QUESTIONS = "SELECT item_id AS query_id, text FROM benchmark"
 OWN_QUESTIONS = "SELECT doc_id AS query_id, doc_id, body AS text FROM lines WHERE ordinal = 0"
 
@@ -86,13 +98,13 @@ def statistics(t):
 @query("q2_bm25_topk", f"WITH {LINES}, {TOKENS} {bm25_sql(QUESTIONS)}")
 def lexical(t):
     """Ten best lines of the whole corpus for every benchmark question."""
-    return rounded(bm25(questions(t), lines(t)))
+    return rounded(search_index(line_index(t), questions(t)))
 
 
 @query("q2_bm25_scoped", f"WITH {LINES}, {TOKENS} {bm25_sql(OWN_QUESTIONS, scoped=True)}")
 def lexical_scoped(t):
     """Ten best lines of one document for that document's question, with corpus-wide statistics."""
-    return rounded(bm25(own_questions(t), lines(t), scope="doc_id"))
+    return rounded(search_index(line_index(t), own_questions(t), scope="doc_id"))
 
 
 @query(
@@ -347,7 +359,8 @@ def ladder_index(t, rung):
     if rung in ("R7", "R7n"):
         aliases = cut_lineage(alias_table(t))
         common = cut_lineage(S.common_tokens(term_statistics(postings(passages, ["passage_id"]))))
-    return Index(passages, expanded, vectors, lexicon, aliases, common, settings=Settings(depth=20))
+    lexical = line_index(t) if expanded is None else None
+    return Index(passages, expanded, vectors, lexicon, aliases, common, lexical, expanded and expanded_index(t), settings=Settings(depth=20))
 
 
 def rung_query(rung: str):
@@ -441,8 +454,7 @@ query("q13_rung_r1", f"WITH {LINES}, {TOKENS} {bm25_sql(OWN_QUESTIONS, scoped=Tr
 @query("q13_expanded_bm25", f"WITH {LINES}, {EXPANDED}, {EXPANDED_TOKENS} {bm25_sql(QUESTIONS)}")
 def expanded_bm25(t):
     """BM25 over passages joined with their definitions."""
-    p = line_passages(t)
-    return rounded(bm25(questions(t), D.expand_passages(p, D.passage_definitions(p, line_definitions(t)))))
+    return rounded(search_index(expanded_index(t), questions(t)))
 
 
 def long_line_hits(t, k=10):
