@@ -58,10 +58,10 @@ def exact(t):
 
 @query("l2_place_anchored")
 def anchored(t):
-    """The same lines with ten characters cut from their middle: placed by their ends."""
+    """The same lines with ten characters cut from their middle: placed by their ends, where those are long enough."""
     half = F.floor(F.length("squashed") / 2).cast("int")
     cut = F.concat(F.expr("left(squashed, cast(floor(length(squashed) / 2) as int) - 5)"), F.substring("squashed", half + 6, F.length("squashed")))
-    p = long_pieces(t).where(F.length("squashed") >= 130).withColumn("squashed", cut)
+    p = long_pieces(t).withColumn("squashed", cut)
     return A.place_pieces(p, contracts(t), ["piece_no"]).select("contract_id", "piece_no", "status", F.size("candidates").alias("n_candidates"))
 
 
@@ -160,16 +160,27 @@ def outlines(t):
     return L.outline(p, contracts(t))
 
 
-@query("l9_locate_quotes")
+@query(
+    "l9_locate_quotes",
+    rf"""WITH {LINES},
+    fd AS (SELECT doc_id, passage_id, ordinal, start, body, translate(body, '“”‘’–—', '""' || chr(39) || chr(39) || '--') AS f FROM lines),
+    sq AS (SELECT doc_id, ordinal, start, regexp_replace(f, '{WS_SQL}+', '', 'g') AS bare, [i FOR i IN range(1, length(f) + 1) IF NOT regexp_matches(f[i], '{WS_SQL}')] AS idx FROM fd),
+    qt AS (SELECT doc_id, passage_id, string_split(replace(substring(f, 1, length(f) // 2) || ' … ' || substring(f, length(f) // 2 + 1), '…', '...'), '...') AS parts FROM fd),
+    pt AS (SELECT doc_id, passage_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS no FROM qt),
+    bp AS (SELECT doc_id, passage_id, no, regexp_replace(part, '{WS_SQL}+', '', 'g') AS bare FROM pt),
+    hit AS (SELECT b.passage_id, b.no, b.bare, arg_min(struct_pack(s := sq.start, i := sq.idx, p := strpos(sq.bare, b.bare)), sq.ordinal) AS h
+            FROM bp b JOIN sq ON sq.doc_id = b.doc_id AND contains(sq.bare, b.bare) WHERE length(b.bare) >= 20 GROUP BY ALL),
+    sp AS (SELECT passage_id, h.s + h.i[h.p] - 1 AS start, h.s + h.i[h.p + length(bare) - 1] AS "end" FROM hit)
+    SELECT l.passage_id, CAST(count(sp.start) AS INTEGER) AS n_spans, min(sp.start) AS start, max(sp."end") AS "end" FROM lines l LEFT JOIN sp USING (passage_id) GROUP BY l.passage_id""",
+)
 def locate(t):
     """Every line quoted with curly marks and an ellipsis in its middle, found among its document's lines."""
     ln = lines(t)
-    shown = ln.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "start", "body"))).alias("l"))
     half = F.floor(F.length("body") / 2).cast("int")
     quote = F.concat(F.substring("body", F.lit(1), half), F.lit(" … "), F.substring("body", half + 1, F.length("body")))
-    q = ln.select("doc_id", "passage_id", F.replace(quote, F.lit(" "), F.lit("  ")).alias("quote"))
-    spans = q.join(shown, "doc_id").select("passage_id", A.locate_quotes(F.col("quote"), F.col("l.body"), F.col("l.start")).alias("spans"))
-    return spans.select("passage_id", F.size("spans").alias("n_spans"), F.array_min("spans.start").alias("start"), F.array_max("spans.end").alias("end"))
+    q = ln.select("doc_id", F.col("passage_id").alias("quote_id"), F.replace(quote, F.lit(" "), F.lit("  ")).alias("quote"))
+    spans = A.locate_quotes(q, ln.select("doc_id", "ordinal", "start", "body"), ["doc_id"])
+    return spans.select(F.col("quote_id").alias("passage_id"), F.size("spans").alias("n_spans"), F.array_min("spans.start").alias("start"), F.array_max("spans.end").alias("end"))
 
 
 TOPICS = ["fees", "awards"]
