@@ -13,7 +13,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # of lower-cased text
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BETWEEN_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BLOCK_END = r"\n\s*\n|(?<=[.!?])\s+"  # a block is a sentence of a paragraph, over its line ends; it holds all that a line of it holds
+SPACE = r"[\t\n\x0B\f\r ]"
+BLOCK_END = rf"\n{SPACE}*\n|(?<=[.!?]){SPACE}+"  # a block is a sentence of a paragraph, over its line ends; it holds all that a line of it holds
 
 #: Phrases of consecutive words and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -44,50 +45,53 @@ def phrase_places(words: str, phrase: str) -> str:
 
 
 def template_sets(docs: DataFrame, templates: Iterable[tuple[str, str]], text_col: str, threshold: float) -> DataFrame:
-    """`(template, label, n, need, token, at, in_prefix)`: each template's distinct tokens, rarest in the corpus first.
+    """`(template, label, n, need, window, token, seen, at, in_prefix)`: each template's distinct tokens, rarest in the corpus first.
 
-    Frequencies are counted over all words of all texts (only of tokens that a template has), ties by token. A block
-    that holds `need` = ceil(threshold x n) of n tokens must hold one of the n - need + 1 first: the prefix.
+    Frequencies are counted over all words of all texts (only of tokens that a template has), ties by token: one global order for templates and
+    blocks. A block that holds `need` = ceil(threshold x n) of n tokens must hold one of the n - need + 1 first: the prefix.
     """
     spark = docs.sparkSession
     table = spark.createDataFrame([(k, label, text) for k, (label, text) in enumerate(templates)], "template int, label string, text string")
-    tokens = table.select("template", "label", F.explode(F.array_distinct(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(WORD), 0))).alias("token"))
+    words = F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(WORD), 0)
+    window = (F.size(words) + F.ceil(F.size(words) / 4)).cast("int")
+    tokens = table.select("template", "label", window.alias("window"), F.explode(F.array_distinct(words)).alias("token"))
     words = docs.select(F.explode(F.split(F.lower(F.col(text_col).cast("string")), BETWEEN)).alias("token"))
     counts = words.join(F.broadcast(tokens.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("seen"))
     each = Window.partitionBy("template")
     return (
-        tokens.join(counts, "token", "left")
+        tokens.join(counts, "token", "left").na.fill(0, ["seen"])
         .withColumn("n", F.count("*").over(each))
         .withColumn("need", F.greatest(F.lit(1), F.ceil(F.col("n") * threshold - 1e-9)).cast("long"))
-        .withColumn("at", F.row_number().over(each.orderBy(F.coalesce("seen", F.lit(0)), "token")) - 1)
+        .withColumn("at", F.row_number().over(each.orderBy("seen", "token")) - 1)
         .withColumn("in_prefix", F.col("at") <= F.col("n") - F.col("need"))
-        .select("template", "label", "n", "need", "token", "at", "in_prefix")
+        .select("template", "label", "n", "need", "window", "token", "seen", "at", "in_prefix")
     )
 
 
 def contained(blocks: DataFrame, sets: list, threshold: float) -> DataFrame:
-    """`blocks(block, tokens)` -> `(block, labels, containment)` for every block that holds a template to the threshold.
+    """`blocks(block)` -> `(block, labels, containment)` for every block in which a template's tokens stand together to the threshold.
 
-    `sets` are the rows of `template_sets`. The templates' prefix tokens meet the blocks' tokens; a pair goes on if the
-    block is long enough (length filter) and if the template tokens after the first shared one, in the global order, still
-    suffice (positional filter); the pair is then counted exactly.
+    `sets` are the rows of `template_sets`. A block keeps its template tokens in the global order. Those meet the templates' prefix tokens; a pair goes on
+    if the block has enough of them (length filter) and if, after the first token that both share, both have enough left (positional filter: what
+    follows in the shorter rest bounds the overlap). The pair is then verified: some run of `window` words must hold `need` tokens.
     """
     spark = blocks.sparkSession
-    prefix = [(r["token"], r["template"], r["at"]) for r in sets if r["in_prefix"]]
+    order = {token: k for k, (_, token) in enumerate(sorted({(r["seen"], r["token"]) for r in sets}))}
+    place = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
+    index = spark.createDataFrame([(order[r["token"]], r["template"], r["at"], r["n"], r["need"]) for r in sets if r["in_prefix"]], "token int, template int, at long, n long, need long")
     whole: dict[int, dict] = {}
     for r in sets:
-        whole.setdefault(r["template"], {"label": r["label"], "need": r["need"], "n": r["n"], "tokens": []})["tokens"].append(r["token"])
-    index = spark.createDataFrame(prefix, "token string, template int, at long")
-    full = spark.createDataFrame([(k, v["label"], v["n"], v["need"], v["tokens"]) for k, v in whole.items()], "template int, label string, n long, need long, wanted array<string>")
-    lists = F.broadcast(index.join(full, "template"))  # the templates given, nothing that grows with the texts
-    met = blocks.select("block", "tokens", F.explode("tokens").alias("token")).join(lists, "token")
-    long_enough = F.size("tokens") >= F.col("need")
-    still_enough = F.col("n") - F.col("at") >= F.col("need")
-    pairs = met.where(long_enough & still_enough).groupBy("block", "template").agg(F.first("tokens").alias("tokens"), F.first("wanted").alias("wanted"), F.first("label").alias("label"), F.first("need").alias("need"), F.first("n").alias("n"))
-    held = F.size(F.array_intersect("tokens", "wanted"))
+        whole.setdefault(r["template"], {"label": r["label"], "window": r["window"], "tokens": []})["tokens"].append(r["token"])
+    full = spark.createDataFrame([(k, v["label"], v["window"], v["tokens"]) for k, v in whole.items()], "template int, label string, window int, wanted array<string>")
+    words = F.regexp_extract_all("block", F.lit(WORD), 0)
+    ordered = blocks.select("block", F.array_sort(F.array_compact(F.transform(F.array_distinct(words), lambda w: F.try_element_at(place, w)))).alias("held"))
+    met = ordered.select("block", F.size("held").alias("size"), F.posexplode("held").alias("pos", "token")).join(F.broadcast(index), "token")  # the templates given
+    left = 1 + F.least(F.col("n") - F.col("at"), F.col("size") - F.col("pos")) - 1
+    pairs = met.where(F.col("size") >= F.col("need")).groupBy("block", "template", "n", "need").agg(F.max(left).alias("most")).where("most >= need")
+    run = "transform(filter(sequence(0, size(words) - 1), i -> array_contains(wanted, words[i])), i -> size(array_intersect(slice(words, i + 1, window), wanted)))"
+    checked = pairs.join(F.broadcast(full), "template").withColumn("words", words).withColumn("held", F.array_max(F.expr(run)))
     return (
-        pairs.withColumn("held", held)
-        .where("held >= need")
+        checked.where("held >= need")
         .groupBy("block")
         .agg(F.array_sort(F.collect_set("label")).alias("labels"), F.max(F.col("held") / F.col("n")).alias("containment"))
     )
@@ -97,11 +101,11 @@ def scan(docs: DataFrame, phrases: Iterable[tuple[str, str]] = PHRASES, template
     """`(doc_id, n_words, places, phrase_labels, labels, score)` per row, in DataFrame functions only.
 
     `places` are the ascending word positions of all phrases, `labels` those of the phrases and of every template that a block (a sentence, over
-    line ends, or a paragraph without) of the text contains to the threshold; `score` is 1 with a phrase, else the largest containment, else 0. A null text is empty; repeated
+    line ends, or a paragraph without) of the text contains to the threshold, its words within a run a quarter longer than the template; `score` is 1 with a phrase, else the largest containment, else 0. A null text is empty; repeated
     rows each keep a row; null ids stay; other columns are not read. Words are counted in every text; word lists
     and blocks are made only of texts that hold the last word of a phrase or a prefix token of a template. Equal
     blocks are compared once, however many documents share one. The texts are read twice: for the templates' token
-    frequencies, and for everything else.
+    frequencies, and for everything else. An empty table gives no row.
     """
     phrases, templates = list(phrases), list(templates)
     sets = template_sets(docs, templates, text_col, threshold).collect()  # the templates' own tokens
@@ -126,8 +130,7 @@ def scan(docs: DataFrame, phrases: Iterable[tuple[str, str]] = PHRASES, template
     )
     based = cut_lineage(based)
     held = based.where(F.size("blocks") > 0).select("doc_id", "text_hash", F.explode(F.array_distinct("blocks")).alias("block"))
-    distinct = held.select("block").distinct().withColumn("tokens", F.array_distinct(F.regexp_extract_all("block", F.lit(WORD), 0)))
-    labelled = held.join(cut_lineage(contained(distinct, sets, threshold)), "block")  # a block of very many texts is a join Spark can split
+    labelled = held.join(cut_lineage(contained(held.select("block").distinct(), sets, threshold)), "block")  # a block of very many texts is a join Spark can split
     per_doc = labelled.groupBy(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash")).agg(F.array_distinct(F.flatten(F.collect_set("labels"))).alias("found"), F.max("containment").alias("containment"))
     same = F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_hash") == F.col("found_hash"))
     return based.join(per_doc, same, "left").select(

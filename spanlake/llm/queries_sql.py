@@ -25,10 +25,14 @@ _PLACES = " UNION ALL ".join(
     words AS (SELECT r, doc_id, low, regexp_extract_all(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws, len(regexp_extract_all(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS n FROM docs),
     places AS ({_PLACES}),
     base AS (SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY r),
-    templates AS (SELECT id, label, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS wanted FROM (VALUES {_TEMPLATES}) AS t(id, label, text)),
-    blocks AS (SELECT DISTINCT r, unnest(string_split(regexp_replace(low, '([.!?])[\t\n\f\r\x0B ]+', '\1' || chr(10), 'g'), chr(10))) AS block FROM docs),
-    sets AS (SELECT r, list_distinct(regexp_extract_all(block, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS held FROM blocks WHERE block <> ''),
-    met AS (SELECT r, label, len(list_intersect(held, wanted)) / len(wanted) AS c FROM sets, templates WHERE len(list_intersect(held, wanted)) >= ceil(0.9 * len(wanted) - 1e-9)),
+    tokens AS (SELECT id, label, regexp_extract_all(lower(text), '[a-z0-9]+') AS tw FROM (VALUES {_TEMPLATES}) AS t(id, label, text)),
+    templates AS (SELECT id, label, list_distinct(tw) AS wanted, len(tw) + ceil(len(tw) / 4)::BIGINT AS width, ceil(0.9 * len(list_distinct(tw)) - 1e-9) AS need FROM tokens),
+    marked AS (SELECT r, regexp_replace(regexp_replace(low, '([.!?])[\t\n\x0B\f\r ]+', '\1' || chr(30), 'g'), '\n[\t\n\x0B\f\r ]*\n', chr(30), 'g') AS low FROM docs),
+    blocks AS (SELECT DISTINCT r, unnest(string_split(low, chr(30))) AS block FROM marked),
+    sets AS (SELECT r, regexp_extract_all(block, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS bw FROM blocks WHERE block <> ''),
+    near AS (SELECT r, label, wanted, width, need, bw FROM sets, templates WHERE len(list_intersect(list_distinct(bw), wanted)) >= need),
+    held AS (SELECT r, label, wanted, need, list_max([len(list_intersect(bw[i:i + width - 1], wanted)) FOR i IN range(1, len(bw) + 1)]) AS h FROM near),
+    met AS (SELECT r, label, h / len(wanted) AS c FROM held WHERE h >= need),
     found AS (SELECT r, max(c) AS c FROM met GROUP BY r),
     both_labels AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM places UNION ALL SELECT r, label FROM met) GROUP BY r)
     SELECT doc_id, n AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
