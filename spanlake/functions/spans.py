@@ -1,7 +1,7 @@
-"""Character-span helpers: regex spans as an array column, and interval arithmetic on columns.
+"""Character-span helpers: regex spans as rows or as an array column, and interval arithmetic on columns.
 
-Spans are half-open code-point offsets. Java regexes report UTF-16 positions, so positions come from Python's `re`
-in one Arrow batch per call; everything after that is JVM-side.
+Spans are half-open code-point offsets. Spark's regex functions give matched texts, not positions; `match_places` adds up the lengths of the matches and
+of what lies between them, all JVM-side. `span_finder` takes positions from Python's `re` in one Arrow batch per call.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +46,20 @@ def span_finder(patterns: dict[str, str], flags: int = 0, whole: bool = False):
     return find
 
 
+def match_places(df: DataFrame, keys: list[str], text: str, pattern: str, group: int = 1) -> DataFrame:
+    """(keys, n, start, end, match, label): every match of a Java pattern, in order; `label` is the group. Keys tell texts apart; texts are not shuffled."""
+    sizes = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+    hits = df.select(
+        *keys, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("label"),
+        sizes.alias("gap"),
+    ).where(F.size("match") > 0)
+    rows = hits.select(*keys, F.posexplode(F.arrays_zip("match", "label", F.slice("gap", F.lit(1), F.size("match")).alias("gap"))).alias("n", "m"))
+    rows = rows.select(*keys, "n", "m.*").withColumn("len", F.length("match").cast("long"))
+    upto = Window.partitionBy(*keys).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("gap") + F.col("len")).over(upto)
+    return rows.withColumn("end", end).select(*keys, "n", (F.col("end") - F.col("len")).alias("start"), "end", "match", "label")
+
+
 def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.greatest(F.lit(0), F.least(a1, b1) - F.greatest(a0, b0))
 

@@ -34,7 +34,25 @@ def sections(t):
     return per.select("doc_id", F.array_join(F.col("l.section_id"), " ").alias("section_ids"), "n_sections")
 
 
-@query("g2_bounded_cut")
+def _step(rest: str) -> str:
+    """Length of the next passage of a text: the longest prefix of its window that ends at a place of a kind, if past the first quarter."""
+    ends = [r"^(.*\n\s*\n)", r"^(.*\s)\((?:[a-z]|[ivx]{1,4}|[A-Z])\)\s", r"^(.*[.;:]\s)"]
+    sizes = [f"length(regexp_extract(substring({rest}, 1, 600), '(?s){e}', 1))" for e in ends]
+    return f"CASE WHEN length({rest}) <= 600 THEN length({rest}) {' '.join(f'WHEN {n} >= 150 THEN {n}' for n in sizes)} ELSE 600 END"
+
+
+@query(
+    "g2_bounded_cut",
+    rf"""WITH RECURSIVE cut AS (
+        SELECT doc_id, CAST(0 AS BIGINT) AS ordinal, CAST(0 AS BIGINT) AS start, text AS rest, CAST({_step('text')} AS BIGINT) AS len
+        FROM documents WHERE length(text) > 0
+        UNION ALL
+        SELECT doc_id, ordinal + 1, start + len, more, CAST({_step('more')} AS BIGINT)
+        FROM (SELECT doc_id, ordinal, start, len, substring(rest, len + 1) AS more FROM cut WHERE len < length(rest)))
+    SELECT doc_id, ordinal, start, start + len AS "end",
+           CASE WHEN len(regexp_extract_all(substring(rest, 1, len), '\b\d{{1,2}}\.\d{{1,2}}\b')) >= 5 THEN 'toc' ELSE 'front' END AS kind,
+           md5(substring(rest, 1, len)) AS body_md5 FROM cut""".replace("\\", "\"),
+)
 def bounded(t):
     """Whole documents cut at blank lines, sub-clauses or sentence ends, 600 characters at most."""
     s = P.segment(t.documents, max_chars=600)
