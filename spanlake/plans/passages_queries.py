@@ -51,7 +51,7 @@ def _step(rest: str) -> str:
         FROM (SELECT doc_id, ordinal, start, len, substring(rest, len + 1) AS more FROM cut WHERE len < length(rest)))
     SELECT doc_id, ordinal, start, start + len AS "end",
            CASE WHEN len(regexp_extract_all(substring(rest, 1, len), '\b\d{{1,2}}\.\d{{1,2}}\b')) >= 5 THEN 'toc' ELSE 'front' END AS kind,
-           md5(substring(rest, 1, len)) AS body_md5 FROM cut""".replace("\\", "\"),
+           md5(substring(rest, 1, len)) AS body_md5 FROM cut""",
 )
 def bounded(t):
     """Whole documents cut at blank lines, sub-clauses or sentence ends, 600 characters at most."""
