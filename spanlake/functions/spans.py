@@ -60,6 +60,25 @@ def match_places(df: DataFrame, keys: list[str], text: str, pattern: str, group:
     return rows.withColumn("end", end).select(*keys, "n", (F.col("end") - F.col("len")).alias("start"), "end", "match", "label")
 
 
+BLOCK = 4096
+
+
+def span_texts(spans: DataFrame, start: str, end: str, texts: DataFrame, key: str, text: str, name: str) -> DataFrame:
+    """`spans` (equal rows once) with the characters [start, end) of their text as `name`; an empty span has none.
+
+    Texts are cut once into blocks of 4,096 characters that meet the spans touching them, so a span costs its own length, not its text's.
+    """
+    columns = spans.columns
+    block = texts.select(key, F.posexplode(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % BLOCK), F.lit(0))).alias("_block", "_chars"))
+    lo, hi, base = F.col(start), F.col(end), F.col("_block").cast("long") * BLOCK
+    touched = spans.where(hi > lo).withColumn("_block", F.explode(F.sequence(F.floor(lo / BLOCK).cast("int"), F.floor((hi - 1) / BLOCK).cast("int"))))
+    from_ = F.greatest(lo - base, F.lit(0))
+    cut = F.substring(F.col("_chars"), (from_ + 1).cast("int"), (hi - base - from_).cast("int"))
+    met = touched.join(block, [key, "_block"]).select(*columns, F.struct("_block", cut.alias("_cut")).alias("_piece"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list("_piece")), lambda x: x["_cut"]), "")
+    return met.groupBy(*columns).agg(whole.alias(name))
+
+
 def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.greatest(F.lit(0), F.least(a1, b1) - F.greatest(a0, b0))
 
