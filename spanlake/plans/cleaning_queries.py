@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanlake.functions import text as X
-from spanlake.functions.markup import page_text, unwrap_submission
+from spanlake.functions.markup import page_texts, unwrap_submission
 from spanlake.operators.cleaning import clean_filing, drop_running_lines, first_by_hash
 from spanlake.plans.registry import query
 
@@ -18,7 +18,7 @@ WS_SQL = (
 @query("t1_html_text")
 def html_text(t):
     """Every page's visible text."""
-    out = t.pages.select("page_id", page_text(F.col("html"), F.lit("page.htm")).alias("text"))
+    out = page_texts(t.pages, "page_id", "html", F.lit("page.htm"))
     return out.select("page_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
