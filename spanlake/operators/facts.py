@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.functions.text import slug
@@ -91,6 +91,42 @@ def category_slug(name: Column) -> Column:
     return slug(name)
 
 
+def typed_facts(objects: DataFrame, json: str, prefix: Column) -> DataFrame:
+    """(name, type, value) of flat JSON objects: one fact for each entry, its value a VARIANT of type number, string, boolean or null.
+
+    A text that is no JSON object has no fact; entries that hold objects or arrays are no facts.
+    """
+    spark = objects.sparkSession
+    rows = objects.select(prefix.alias("_prefix"), F.try_parse_json(F.col(json)).alias("_v"))
+    rows = rows.where(F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT")))
+    each = spark.sql("SELECT _prefix, key, value FROM {rows}, LATERAL variant_explode(_v)", rows=rows)
+    kind = F.schema_of_variant("value")
+    type_ = (
+        F.when(F.is_variant_null("value"), "null").when(kind == "BOOLEAN", "boolean").when(kind == "STRING", "string")
+        .when(kind.rlike("^(?:BIGINT|DOUBLE|DECIMAL|FLOAT)"), "number")
+    )
+    return each.select(F.concat("_prefix", "key").alias("name"), type_.alias("type"), "value").where("type IS NOT NULL")
+
+
+def number_facts(typed: DataFrame) -> DataFrame:
+    """(name, value) of the numbers among typed facts; a boolean is no number."""
+    return typed.where("type = 'number'").select("name", F.variant_get("value", "$", "double").alias("value"))
+
+
+def string_facts(typed: DataFrame) -> DataFrame:
+    return typed.where("type = 'string'").select("name", F.variant_get("value", "$", "string").alias("value"))
+
+
+def typed_diff(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(name, problem): as `facts_diff`, for facts of any type. Numbers are equal by value, however written; values of two types never are."""
+    def comparable(facts):
+        number = F.when(F.col("type") == "number", F.variant_get("value", "$", "double"))
+        other = F.when(F.col("type") != "number", F.to_json("value"))
+        return facts.select("name", F.struct("type", number.alias("number"), other.alias("other")).alias("value"))
+
+    return facts_diff(comparable(stored), comparable(fresh))
+
+
 def facts_diff(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """Names whose value changed, is new, or is no longer built; wall-clock facts are ignored."""
     j = stored.select("name", F.col("value").alias("_old"), F.lit(True).alias("_s")).join(
@@ -115,10 +151,42 @@ def tier_label(name: Column) -> Column:
     return F.when(is_machine_built(name), MACHINE).when(_starts(name, HUMAN_PREFIXES) | name.rlike(HUMAN_PATTERN), HUMAN)
 
 
+# What shapes a Markdown text, line by line.
+FENCE = r"^\s*(?:```|~~~)"
+HEADING = r"^\s{0,3}#{1,6}\s"
+ITEM = r"^\s*(?:[-*+]|\d+[.)])\s"
+ROW = r"^\s*\|"
+REFERENCE = r"^\s*\[[^\]]+\]:\s*\S+.*$"
+
+
+def published_lines(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, line, text, labelled): the lines of Markdown texts that carry copy, numbered from 0 as they stand.
+
+    Code between fences and link references are no copy. A line is labelled where its paragraph, list item or table row, or the heading above it, says
+    machine-built (a machine-built lexicon does not count). The key tells texts apart; a null text has no line.
+    """
+    rows = texts.select(key, F.posexplode(F.split(text, "\n")).alias("line", "text"))
+    order = Window.partitionBy(key).orderBy("line")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    fence = F.col("text").rlike(FENCE)
+    rows = rows.withColumn("_code", fence | (F.sum(fence.cast("int")).over(upto) % 2 == 1))
+    head = ~F.col("_code") & F.col("text").rlike(HEADING)
+    rows = rows.withColumns({"_head": head, "_gap": F.col("_code") | (F.trim(F.regexp_replace("text", r"\s", " ")) == ""), "_row": F.col("text").rlike(ROW)})
+    after = F.lag(F.col("_gap") | F.col("_head") | F.col("_row"), 1, True).over(order)
+    begins = F.col("_gap") | F.col("_head") | F.col("_row") | after | F.col("text").rlike(ITEM)
+    rows = rows.withColumns({"_block": F.sum(begins.cast("int")).over(upto), "_heading": F.last(F.when(F.col("_head"), F.col("text")), ignorenulls=True).over(upto)})
+    copy = rows.where(~F.col("_gap"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), " ")
+    context = F.lower(F.concat_ws("\n", listed, F.max("_heading")))
+    blocks = copy.groupBy(key, "_block").agg(F.contains(F.replace(context, F.lit("machine-built lexicon"), F.lit("")), F.lit(MACHINE)).alias("labelled"))
+    return copy.where(~F.col("text").rlike(REFERENCE)).join(blocks, [key, "_block"]).select(key, F.col("line").cast("long").alias("line"), "text", "labelled")
+
+
 def numbers_in(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Every number of each text row: raw, digits, places, pct, and whether the row carries the machine-built label."""
+    """Every number of each text row: raw, digits, places, pct, and whether the row carries the machine-built label (its own `labelled`, if it has one)."""
     prose = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, INLINE, " "), ORDINAL, "$1"), DATE, " ")
-    d = texts.select(*keys, prose.alias("_p"), F.contains(F.replace(F.lower(text), F.lit("machine-built lexicon"), F.lit("")), F.lit(MACHINE)).alias("labelled"))
+    own = F.contains(F.replace(F.lower(text), F.lit("machine-built lexicon"), F.lit("")), F.lit(MACHINE))
+    d = texts.select(*keys, prose.alias("_p"), F.col("labelled") if "labelled" in texts.columns else own.alias("labelled"))
     groups = [F.regexp_extract_all("_p", F.lit(NUMBER), F.lit(i)).alias(f"g{i}") for i in range(0, 6)]
     z = d.select(*keys, "labelled", F.posexplode(F.arrays_zip(*groups)).alias("at", "z"))
     frac = F.coalesce(F.col("z.g4"), F.lit(""))

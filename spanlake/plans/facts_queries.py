@@ -102,6 +102,49 @@ def diff(t):
     return F_.facts_diff(*stored_and_fresh(t))
 
 
+def typed_objects(t, shift: int):
+    """One flat object per customer: a whole number written as one or as a decimal, a string, a boolean and a null that turns to a number."""
+    k = F.col("c_custkey")
+    late = (k + shift) % 5 == 0
+    number = F.when(late, S(k.cast("string"), F.lit(".0"))).otherwise(S((k + F.when(k % 7 == 0, shift).otherwise(0)).cast("string")))
+    gap = F.when(k % 3 == 0, "null").when(k % 3 == 1, F.lit(str(shift))).otherwise("true" if shift else "1")
+    text = S(
+        F.lit('{"n": '), number, F.lit(', "segment": "'), F.when(late, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment")), F.lit('", "rich": '),
+        (F.col("c_acctbal") > 100 * shift).cast("string"), F.lit(', "gap": '), gap, F.lit(', "list": [1]}'),
+    )
+    return t.customer.where(F.lit(shift == 0) | (k % 11 != 0)).select(k.alias("c_custkey"), text.alias("json"))
+
+
+def typed(t, shift: int):
+    return F_.typed_facts(typed_objects(t, shift), "json", S(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("_")))
+
+
+@query(
+    "f1_typed_facts",
+    """SELECT 'c' || c_custkey || '_' || u.name AS name, u.type AS type, u.value AS value FROM (
+         SELECT c_custkey, unnest([{'name': 'n', 'type': 'number', 'value': c_custkey || '.0'}, {'name': 'segment', 'type': 'string',
+           'value': CASE WHEN c_custkey % 5 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END}, {'name': 'rich', 'type': 'boolean', 'value': CAST(c_acctbal > 0 AS VARCHAR)},
+           {'name': 'gap', 'type': CASE c_custkey % 3 WHEN 0 THEN 'null' ELSE 'number' END, 'value': CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '0.0' ELSE '1.0' END}]) AS u FROM customer)""",
+)
+def typed_values(t):
+    """Facts of all four types from flat JSON objects, numbers read as numbers."""
+    number = F.variant_get("value", "$", "double").cast("decimal(20,1)").cast("string")
+    shown = F.when(F.col("type") == "number", number).when(F.col("type") != "null", F.variant_get("value", "$", "string"))
+    return typed(t, 0).select("name", "type", shown.alias("value"))
+
+
+@query(
+    "f3_typed_diff",
+    """WITH k AS (SELECT c_custkey AS k, c_custkey % 11 <> 0 AS kept, c_acctbal AS b FROM customer), u AS (
+         SELECT k, kept, unnest(['n', 'segment', 'rich', 'gap']) AS f, unnest([k % 7 = 0 AND (k + 1) % 5 <> 0, (k % 5 = 0) <> ((k + 1) % 5 = 0),
+           (b > 0) <> (b > 100), k % 3 <> 0]) AS changed FROM k)
+       SELECT 'c' || k || '_' || f AS name, CASE WHEN kept THEN 'stale' ELSE 'no longer built' END AS problem FROM u WHERE changed OR NOT kept""",
+)
+def typed_difference(t):
+    """Facts of four types built again: 7 and 7.0 are one number, 1 and true are not one value."""
+    return F_.typed_diff(typed(t, 0), typed(t, 1))
+
+
 @query(
     "f4_tier_labels",
     """SELECT c_custkey, CASE c_nationkey % 6 WHEN 0 THEN 'machine-built' WHEN 1 THEN 'human-labelled (MAUD)' WHEN 2 THEN 'machine-built' WHEN 3 THEN 'human-labelled (MAUD)' WHEN 4 THEN 'machine-built' END AS label FROM customer""",
@@ -136,8 +179,10 @@ def copy_facts(t):
 
 @query("f5_number_check")
 def number_check(t):
-    """Every number of every published line against the facts."""
-    return F_.check_numbers(copy_texts(t), copy_facts(t), ["doc_id"])
+    """Every number of every line of every whole text, its published line last, against the facts."""
+    published = t.documents.select("doc_id", "text").join(copy_texts(t).withColumnRenamed("text", "_copy"), "doc_id")
+    lines_ = F_.published_lines(published.select("doc_id", F.concat_ws("\n", "text", "_copy").alias("text")), "doc_id")
+    return F_.check_numbers(lines_, copy_facts(t), ["doc_id", "line"])
 
 
 @query(
