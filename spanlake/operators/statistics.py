@@ -12,34 +12,51 @@ from spanlake.session import cut_lineage
 CI_LOW, CI_HIGH = 0.025, 0.975
 CEILING_LO = 0.95
 DRAW_CHUNK = 4096
+HELD_CLUSTERS = 200_000  # clusters that a task may hold: a few megabytes
 DIGITS = 10
 
 
-def draws(groups: DataFrame, keys: list[str], n_boot: int, seed: int) -> DataFrame:
-    """(keys, b, pick): for each group of `c` clusters, `n_boot` times `c` cluster numbers drawn with replacement.
-
-    A draw is a hash of seed, replicate and slot, so a lost task redraws the same numbers. Slots are generated in
-    chunks, so no row holds a long sequence.
-    """
+def _chunks(groups: DataFrame, keys: list[str], n_boot: int) -> DataFrame:
+    """(keys, c, b, _lo): the first slot of every chunk of every replicate, so no row holds a long sequence."""
     reps = groups.select(*keys, "c", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
     chunks = reps.select("*", F.explode(F.expr(f"sequence(0L, c - 1, {DRAW_CHUNK}L)")).alias("_lo"))
-    chunks = chunks.repartition(*keys, "b", "_lo")
-    slots = chunks.select(*keys, "b", "c", F.explode(F.sequence("_lo", F.least(F.col("_lo") + DRAW_CHUNK - 1, F.col("c") - 1))).alias("i"))
-    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("i").cast("string")))
-    pick = F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % F.col("c")
-    return slots.select(*keys, "b", F.coalesce(pick, F.lit(0).cast("long")).alias("pick"))
+    return chunks.repartition(*keys, "b", "_lo")
+
+
+def _slots() -> Column:
+    return F.sequence("_lo", F.least(F.col("_lo") + DRAW_CHUNK - 1, F.col("c") - 1))
+
+
+def _pick(slot: Column, seed: int) -> Column:
+    """The cluster number drawn in a slot: a hash of seed, replicate and slot, so a lost task redraws the same numbers."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), slot.cast("string")))
+    return F.coalesce(F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % F.col("c"), F.lit(0).cast("long"))
+
+
+def draws(groups: DataFrame, keys: list[str], n_boot: int, seed: int) -> DataFrame:
+    """(keys, b, pick): for each group of `c` clusters, `n_boot` times `c` cluster numbers drawn with replacement."""
+    slots = _chunks(groups, keys, n_boot).select(*keys, "b", "c", F.explode(_slots()).alias("i"))
+    return slots.select(*keys, "b", _pick(F.col("i"), seed).alias("pick"))
 
 
-def replicates(per: DataFrame, keys: list[str], sums: list[str], n_boot: int, seed: int) -> DataFrame:
+def replicates(per: DataFrame, keys: list[str], sums: list[str], n_boot: int, seed: int, held: int = HELD_CLUSTERS) -> DataFrame:
     """(keys, b, sums..., n): totals of every bootstrap replicate. `per`: keys, cluster, sums..., n.
 
-    The numbered clusters are written first, so Spark knows their size when it chooses how draws and clusters meet.
+    The numbered clusters are written and counted first. Up to `held` clusters in all go to every task as one array a group, and draws are added up
+    where they are drawn. Beyond that, draws meet clusters in a join. Both draw the same.
     """
     per = cut_lineage(per)
     idx = cut_lineage(dense_index(per, "cluster", keys, "pick"))
     sizes = per.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
-    drawn = draws(sizes, keys, n_boot, seed).join(idx, [*keys, "pick"])
-    return drawn.groupBy(*keys, "b").agg(*[F.sum(s).alias(s) for s in sums], F.sum("n").alias("n"))
+    totals = [*sums, "n"]
+    if idx.count() <= held:
+        values = F.struct("pick", *[F.col(s).cast("double" if s != "n" else "long").alias(s) for s in totals])
+        arrays = idx.groupBy(*keys).agg(F.array_sort(F.collect_list(values)).alias("_clusters"))
+        slots = _chunks(sizes, keys, n_boot).join(F.broadcast(arrays), keys).select(*keys, "b", "c", "_clusters", F.explode(_slots()).alias("i"))
+        drawn = slots.select(*keys, "b", F.get("_clusters", _pick(F.col("i"), seed).cast("int")).alias("t")).select(*keys, "b", "t.*")
+    else:
+        drawn = draws(sizes, keys, n_boot, seed).join(idx, [*keys, "pick"])
+    return drawn.groupBy(*keys, "b").agg(*[F.sum(s).alias(s) for s in totals])
 
 
 def interval_ranks(n: Column) -> tuple[Column, Column]:
