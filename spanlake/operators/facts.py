@@ -230,26 +230,34 @@ def check_numbers(texts: DataFrame, facts: DataFrame, keys: list[str], text: str
     """Each number in a text with the facts it states exactly or rounded, and whether it needs a label.
 
     Numbers meet facts by equality of keys, never by trying every pair: the fact rounded to the number's places, or a
-    cell of the tolerance within which two numbers are the same. The status is then decided on the few facts that met. Numbers of any
-    number of digits and decimals take part.
+    cell of the tolerance within which two numbers are the same. Distinct numbers meet distinct values with their count of facts, so a number that many
+    texts hold and a value that many facts have meet once. Numbers of any number of digits and decimals take part.
     """
     n = numbers_in(texts, keys, text)
-    own = F.when(F.col("places") < FINE_PLACES, F.array(F.struct(F.lit("round").alias("kind"), F.col("places").cast("int").alias("places"), F.col("value").alias("cell"))))
-    asked = n.withColumn("_k", F.explode(F.concat(F.coalesce(own, F.array().cast("array<struct<kind:string,places:int,cell:double>>")), _near_keys(F.col("value"), 1))))
+    number = ["value", "places", "significant", "pct"]
+    can_round = (F.col("places") < FINE_PLACES) & (F.col("significant") >= 2)
+    own = F.when(can_round, F.array(F.struct(F.lit("round").alias("kind"), F.col("places").cast("int").alias("places"), F.col("value").alias("cell"))))
+    asked = n.select(number).distinct()
+    asked = asked.withColumn("_k", F.explode(F.concat(F.coalesce(own, F.array().cast("array<struct<kind:string,places:int,cell:double>>")), _near_keys(F.col("value"), 1))))
+    valued = facts.where(F.col("value").isNotNull()).select("name", F.col("value").alias("fact")).distinct()
+    # Names of one value are counted by value; a name of several values, or none, is one fact whichever of them is met.
+    several = F.col("name").isNull() | (F.count(F.lit(1)).over(Window.partitionBy("name")) > 1)
+    f = valued.withColumn("_several", several).withColumn("pct", F.explode(F.array(F.lit(False), F.lit(True))))
     shown = F.when(F.col("pct") & ~F.endswith("name", F.lit("_pct")), F.col("fact") * 100).otherwise(F.col("fact"))
-    f = facts.where(F.col("value").isNotNull()).select("name", F.col("value").alias("fact"), F.explode(F.array(F.lit(False), F.lit(True))).alias("pct"))
-    f = f.select("name", "pct", shown.alias("shown"))
+    one = ["_several", F.when(F.col("_several"), F.col("name")).alias("_name"), is_machine_built(F.col("name")).alias("_m")]
+    f = f.select("pct", shown.alias("shown"), *one).groupBy("pct", "shown", "_several", "_name", "_m").agg(F.count(F.lit(1)).alias("_c"))
+    f = f.withColumn("_c", F.when(F.col("_several"), 1).otherwise(F.col("_c")))
     by_rounding = F.transform(_rounded(F.col("shown")), lambda s: F.struct(F.lit("round").alias("kind"), s["places"].alias("places"), s["r"].alias("cell")))
     f = f.withColumn("_k", F.explode(F.concat(by_rounding, _near_keys(F.col("shown"), 0))))
-    met = asked.join(f, ["_k", "pct"]).select(*keys, "at", "name", "shown", "value", "significant", (F.col("_k.kind") == "round").alias("_r"))
-    met = met.groupBy(*keys, "at", "name").agg(F.first("shown").alias("shown"), F.first("value").alias("value"), F.first("significant").alias("significant"), F.max("_r").alias("_r"))
-    met = met.withColumn("_exact", _close(F.col("shown"), F.col("value"))).withColumn("_near", (F.col("significant") >= 2) & (F.col("_r") | F.col("_exact")))
-    met = met.where("_exact OR _near").withColumn("_m", is_machine_built(F.col("name")))
-    per = met.groupBy(*keys, "at").agg(
-        F.count_if("_exact").alias("_ne"), F.count(F.lit(1)).alias("_nn"),
-        F.count_if(F.col("_exact") & F.col("_m")).alias("_me"), F.count_if("_m").alias("_mn"),
+    met = asked.join(f, ["_k", "pct"]).withColumn("_exact", _close(F.col("shown"), F.col("value")))
+    met = met.withColumn("_near", (F.col("significant") >= 2) & ((F.col("_k.kind") == "round") | F.col("_exact"))).where("_exact OR _near")
+    unit = F.when(~F.col("_several"), F.col("shown")).alias("_shown")
+    met = met.groupBy(*number, "_several", "_name", unit, "_m").agg(F.max("_c").alias("_c"), F.max("_exact").alias("_exact"))
+    per = met.groupBy(*number).agg(
+        F.sum(F.when(F.col("_exact"), F.col("_c")).otherwise(0)).alias("_ne"), F.sum("_c").alias("_nn"),
+        F.sum(F.when(F.col("_exact") & F.col("_m"), F.col("_c")).otherwise(0)).alias("_me"), F.sum(F.when(F.col("_m"), F.col("_c")).otherwise(0)).alias("_mn"),
     )
-    j = n.join(per, [*keys, "at"], "left")
+    j = n.join(per, number, "left")
     exact = F.coalesce("_ne", F.lit(0)) > 0
     hits = F.when(exact, F.col("_ne")).otherwise(F.coalesce("_nn", F.lit(0)))
     machine = F.when(exact, F.col("_me")).otherwise(F.coalesce("_mn", F.lit(0)))
