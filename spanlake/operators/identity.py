@@ -16,7 +16,8 @@ FLAG_CHARS = 1500
 # How an agreement's opening names its parties and its date.
 MONTHS = "January February March April May June July August September October November December".split()
 MONTH = "(" + "|".join(MONTHS) + ")"
-NAME = r"([A-Z0-9][\w.&+'’\-]*(?:,?\s+(?:[A-Z0-9&][\w.&+'’\-]*|of|and|de|la|the))*)"
+# Words are taken for good: no word of a name can be the article that follows it, and a run of thousands of words given back one by one overflows the stack.
+NAME = r"([A-Z0-9][\w.&+'’\-]*(?:,?\s+(?:[A-Z0-9&][\w.&+'’\-]*|of|and|de|la|the))*+)"
 PARTY = (
     r"(?sU)" + NAME + r",?\s+(?:a|an)\s+[A-Za-z .’'\-]{0,80}?"
     r"(?:corporation|company|partnership|trust|N\.V\.|B\.V\.|S\.A\.|plc|Ltd\.?|limited)\b[^()“”\"]{0,120}?"
