@@ -34,6 +34,7 @@ NAMED = (
 ).split()
 
 KEEP, LOOSE, AROUND = 1, 0, -1  # a line of marked main text; one outside it that no markup calls furniture; furniture
+DOUBT = 2  # a line of marked main text whose own paragraph, list item or cell is named like furniture
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>"
@@ -59,18 +60,21 @@ def _is_furniture(name: str, attrs: str) -> bool:
 
 
 def page_lines(page: str) -> list[tuple[str, int]]:
-    """The page's lines of visible text, one for each block, as (text, KEEP, LOOSE or AROUND)."""
+    """The page's lines of visible text, one for each block, as (text, KEEP, DOUBT, LOOSE or AROUND)."""
     lines: list[tuple[str, int]] = []
     parts: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # name, furniture, main: of what is open, with what is around it
+    named = False  # the line's own start tag is named like furniture
 
     def end_block() -> None:
+        nonlocal named
         if parts:
             furniture, main = stack[-1][1:] if stack else (False, False)
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                lines.append((text, AROUND if furniture else KEEP if main else LOOSE))
+                lines.append((text, AROUND if furniture else LOOSE if not main else DOUBT if named else KEEP))
             parts.clear()
+        named = False
 
     at = 0
     for token in _TOKEN.finditer(page):
@@ -88,6 +92,7 @@ def page_lines(page: str) -> list[tuple[str, int]]:
         if name != "span":
             end_block()
         if name in _ALONE:
+            named = not token["end"] and _is_furniture(name, token["attrs"])
             continue
         if token["end"]:
             for k in range(len(stack) - 1, -1, -1):
@@ -174,33 +179,38 @@ def nearest_pages(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """`(page_id, url, text)` per row; `text` is the page's main text, blocks joined by an empty line.
 
-    Markup first: scripts and styles are no text, and elements that their name, class or id calls menu, header, footer,
-    sidebar, form, notice, advert or comments give furniture. Then differencing: within its host a page is paired with the page of
-    the nearest URL path, the lines of both are aligned by longest common subsequence, and shared lines are deleted. Where a page
-    marks its article, markup decides alone and the alignment is left out, as it could change nothing: lines inside the
-    mark stay although two addresses of one article share them all, and lines outside it go although no other page has them.
+    Scripts and styles are no text. Every page is differenced: within its host it is paired with the page of the nearest URL path, and the lines of
+    both, by their hashes, are aligned by longest common subsequence. Shared lines are the site's and go, unless markup says otherwise: lines in
+    an element that its name, class or id calls menu, header, footer, sidebar, form, notice, advert or comments go in any case, and where a page marks its article,
+    lines inside the mark stay although two addresses of one article share them all, and lines outside it go although no other page has them. Of the
+    lines in the mark whose own paragraph, list item or cell is named like furniture, and of all others on pages without a mark, the shared ones are deleted.
 
     A null html, or a page without such lines, has an empty text. Pages without a host (null URL, or no `://`) are one site
     of their own. Pages of one host with the same lines (repeated rows, one page at several addresses) are one page, at the smallest of
     their paths: they share the nearest page whose lines differ, keep all lines if their host has none, and each keep a row. Nothing is capped: html of any length is read
-    whole. Texts stay where they are read; what is ordered and paired are URLs and line hashes.
+    whole. What is ordered, paired and aligned are URLs and line hashes; texts only meet the places of lines to delete.
     """
     spark = pages.sparkSession
     head = [T.StructField("page_id", pages.schema[id_col].dataType), T.StructField("url", T.StringType())]
-    lined_schema = T.StructType([*head, *T.StructType.fromDDL("marked boolean, texts array<string>, loose array<boolean>, hashes array<long>, digest binary").fields])
+    lined_schema = T.StructType([*head, *T.StructType.fromDDL("texts array<string>, open array<int>, hashes array<long>, digest binary").fields])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for page in batch.column(2):
                 lines = page_lines(page.as_py() or "")
-                marked = any(kind == KEEP for _, kind in lines)
-                hashes = [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x, _ in lines]
-                kept = KEEP if marked else LOOSE
-                hashed = np.array(hashes, dtype=np.uint64).view(np.int64)
-                rows.append((marked, [x for x, kind in lines if kind == kept], [kind == kept for _, kind in lines], hashed, xxhash.xxh128_digest(hashed.tobytes())))
-            columns = zip(*rows, strict=True) if rows else ([], [], [], [], [])
-            kinds = (pa.bool_(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary())
+                marked = any(kind > LOOSE for _, kind in lines)
+                mine = (KEEP, DOUBT) if marked else (LOOSE,)
+                told = DOUBT if marked else LOOSE
+                texts, places = [], []
+                for x, kind in lines:
+                    places.append(len(texts) if kind == told else -1)  # where the line stands in `texts`, if differencing decides on it
+                    if kind in mine:
+                        texts.append(x)
+                hashed = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x, _ in lines], dtype=np.uint64).view(np.int64)
+                rows.append((texts, places, hashed, xxhash.xxh128_digest(hashed.tobytes())))
+            columns = zip(*rows, strict=True) if rows else ([], [], [], [])
+            kinds = (pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]], lined_schema.names)
 
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
@@ -208,20 +218,24 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     lined = rows.mapInArrow(read, lined_schema).withColumn("key", F.monotonically_increasing_id())
     lined.write.option("compression", "zstd").parquet(path)
     lined = spark.read.schema(lined.schema).parquet(path)
-    placed = lined.select("key", "marked", "digest", F.size("hashes").alias("n"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    placed = lined.select("key", "digest", F.size("hashes").alias("n"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     distinct = cut_lineage(placed.where("n > 0").groupBy("host", "digest").agg(F.min(F.struct("path", "key")).alias("first")))
     mates = nearest_pages(distinct.select("first.key", "host", "first.path"))
     theirs = lined.select(F.col("key").alias("mate"), F.col("hashes").alias("mate_hashes"))
     mated = distinct.select("host", "digest", "first.key").join(mates.join(theirs, "mate"), "key").select("host", "digest", "mate_hashes")
-    unmarked = lined.where("NOT marked").withColumn("host", host_of(F.col("url"))).join(mated, ["host", "digest"], "left")
+    paired = placed.select("key", "host", "digest").join(lined.select("key", "hashes", "open"), "key").join(mated, ["host", "digest"])
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for texts, loose, own, other in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
-                shared = common_lines(np.array(own, dtype=np.int64), np.array(other or [], dtype=np.int64))
-                out.append("\n\n".join(x for x, s in zip(texts, shared[np.array(loose, dtype=bool)], strict=True) if not s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
-
-    differing = unmarked.select("page_id", "url", "texts", "loose", "hashes", "mate_hashes").mapInArrow(difference, T.StructType([*head, T.StructField("text", T.StringType())]))
-    return lined.where("marked").select("page_id", "url", F.array_join("texts", "\n\n").alias("text")).unionByName(differing)
+            keys, gone = [], []
+            for key, own, places, other in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                shared = common_lines(np.array(own, dtype=np.int64), np.array(other, dtype=np.int64))
+                told = np.array(places, dtype=np.int64)[shared]
+                if (told >= 0).any():
+                    keys.append(key)
+                    gone.append(told[told >= 0].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["key", "gone"])
+
+    deleted = cut_lineage(paired.select("key", "hashes", "open", "mate_hashes").mapInArrow(difference, "key long, gone array<int>"))
+    left = F.when(F.col("gone").isNull(), F.col("texts")).otherwise(F.filter("texts", lambda x, i: ~F.array_contains("gone", i)))
+    return lined.join(deleted, "key", "left").select("page_id", "url", F.array_join(left, "\n\n").alias("text"))
